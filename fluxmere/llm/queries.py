@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mix, quality, shard
 
 QUERIES = {
+    "op7_mix_sources": mix.op7,
+    "op9_kd_shards": shard.op9,
     "op10_quality_rules": quality.op10,
 }
 ORACLES = {

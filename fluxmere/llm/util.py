@@ -76,7 +76,6 @@ def gapless(df: DataFrame, group: str, spread: Column, order: list[str], out: st
     Rows are dealt to (group, part); a part holds about 1/4000 of all rows or 250, whichever is
     more. The table of part sizes has at most 4000 rows plus one a group, so it is small at any size.
     """
-    spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     total = df.count()
     chunk = max(250, -(-total // 4000))
@@ -89,31 +88,30 @@ def gapless(df: DataFrame, group: str, spread: Column, order: list[str], out: st
     starts = counts.select("_g", "_p", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
     dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1)
     joined = dealt.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
-    del spark
     return joined.withColumn(out, (F.col("_start") + F.col("_n")).cast("long")).drop("_g", "_p", "_c", "_start", "_n", "_part", "_parts")
 
 
-def weighted_cuts(df: DataFrame, group: str, key: str, weight: str, wanted: dict, bits: int, stop: dict) -> dict:
+def weighted_cuts(df: DataFrame, group: str, key: str, weight: str, wanted: dict, bits: int, stop: dict, near: bool = True, whole: tuple = (1, 0.0)) -> dict:
     """For each group, the least key at which the running weight, in key order, reaches ``wanted``.
 
     ``key`` is a long in [0, 2^bits). Returns {group: (cut, weight of keys below cut)}: keys below
     the cut weigh at most ``wanted``. Found by refining histograms of 2^12 bins, one aggregation a
     round over all groups at once, until the bin that holds the cut weighs at most ``stop[group]`` or
-    is one key wide; the cut is that bin's near end. The driver gets at most 4096 rows a group.
+    is one key wide, or has at most ``whole`` keys and weight; the cut is that bin's near end, or its
+    start if not ``near``. The driver gets at most 4096 rows a group.
     """
-    span = {g: (0, 1 << bits, 0.0, None) for g in wanted}  # low, width, weight below low
+    span = {g: (0, 1 << bits, 0.0) for g in wanted}  # low, width, weight below low
     live, done = dict(span), {}
     while live:
-        col, low, shift = F.col(group), F.lit(None).cast("long"), {}
-        for g, (lo, width, _, _) in live.items():
-            shift[g] = max(0, width.bit_length() - 1 - 12)
+        col = F.col(group)
+        shift = {g: max(0, width.bit_length() - 1 - 12) for g, (_, width, _) in live.items()}
         lows = F.create_map(*[x for g, s in live.items() for x in (F.lit(g), F.lit(s[0]))])
         highs = F.create_map(*[x for g, s in live.items() for x in (F.lit(g), F.lit(s[0] + s[1]))])
         shifts = F.create_map(*[x for g, s in shift.items() for x in (F.lit(g), F.lit(1 << s))])
         low = F.try_element_at(lows, col)
         rows = (
             df.filter(low.isNotNull() & (F.col(key) >= low) & (F.col(key) < F.try_element_at(highs, col)))
-            .groupBy(col.alias("g"), F.floor((F.col(key) - low) / F.try_element_at(shifts, col)).cast("long").alias("b"))
+            .groupBy(col.alias("g"), F.call_function("div", F.col(key) - low, F.try_element_at(shifts, col)).alias("b"))
             .agg(F.sum(weight).cast("double").alias("w"))
             .collect()
         )
@@ -121,16 +119,16 @@ def weighted_cuts(df: DataFrame, group: str, key: str, weight: str, wanted: dict
         for r in rows:
             bins.setdefault(r["g"], []).append((r["b"], r["w"]))
         later = {}
-        for g, (lo, width, below, _) in live.items():
+        for g, (lo, width, below) in live.items():
             held = sorted(bins.get(g, []))
             for b, w in held:
                 if below + w > wanted[g]:
                     start, size = lo + (b << shift[g]), 1 << shift[g]
-                    if w <= stop[g] or size == 1:
-                        near = wanted[g] - below > w / 2
-                        done[g] = (start + size, below + w) if near else (start, below)
+                    if w <= stop[g] or size == 1 or (size <= whole[0] and w <= whole[1]):
+                        over = near and wanted[g] - below > w / 2
+                        done[g] = (start + size, below + w) if over else (start, below)
                     else:
-                        later[g] = (start, size, below, None)
+                        later[g] = (start, size, below)
                     break
                 below += w
             else:
