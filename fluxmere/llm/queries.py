@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mix, quality, shard
+from . import mix, packing, quality, shard
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3,
     "op7_mix_sources": mix.op7,
     "op9_kd_shards": shard.op9,
     "op10_quality_rules": quality.op10,
