@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mix, packing, quality, shard, warc
+from . import langid, minhash, mix, packing, quality, shard, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.op1,
     "op4_language_id": langid.op4,
     "op3_best_fit_packing": packing.op3,
+    "op6_bag_minhash": minhash.op6,
     "op7_mix_sources": mix.op7,
     "op9_kd_shards": shard.op9,
     "op10_quality_rules": quality.op10,
