@@ -16,6 +16,8 @@ from .util import fold
 ORDER = 5
 #: Bounds of the fitting sample: texts a language, characters a text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 50_000
+#: Letters that the lowest order spreads its discount over; a foreign letter costs that much.
+ALPHABET = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,10 +70,9 @@ class CharModels:
             weight = np.minimum(n[word], 1e12)
             levels = []
             for k in range(order):
-                ok = place >= max(k, 1)
-                key = hashes[k][ok]
-                uniq, inv = np.unique(key, return_inverse=True)
-                levels.append([uniq, np.bincount(inv, weight[ok], len(uniq))])
+                ok = place >= k
+                uniq, inv = np.unique(hashes[k][ok], return_inverse=True)
+                levels.append([uniq, np.bincount(inv, (weight * (place > 0))[ok], len(uniq))])
             # continuation counts: in how many distinct longer n-grams an n-gram ends
             for k in range(order - 1):
                 ok = place >= k + 1
@@ -81,15 +82,14 @@ class CharModels:
                 full = levels[k][1]
                 # n-grams at a word's start have no longer form: they keep their counts
                 pos = np.searchsorted(levels[k][0], u)
-                cont = np.where(np.isin(levels[k][0], u), 0.0, np.maximum(full, 1.0))
+                cont = np.where(np.isin(levels[k][0], u), 0.0, full)
                 cont[pos] = c
                 levels[k][1] = cont
             per.append(levels)
         keys = [np.unique(np.concatenate([p[k][0] for p in per])) for k in range(order)]
         logp, backoff = [], []
-        vocabulary = len(keys[0]) + 1
         suffix, context = cls._links(counts, langs, keys, order)
-        lower = np.full((len(keys[0]), len(langs)), 1.0 / vocabulary)
+        lower = np.full((len(keys[0]), len(langs)), 1.0 / ALPHABET)
         for k in range(order):
             value = np.zeros((len(keys[k]), len(langs)))
             gamma = np.ones((len(keys[k - 1]) if k else 1, len(langs)))
@@ -132,8 +132,7 @@ class CharModels:
                 row = np.searchsorted(keys[k], hashes[k][ok])
                 suffix[k][row] = np.searchsorted(keys[k - 1], hashes[k - 1][ok])
                 ctx = cls._context(hashes, k)[ok]
-                at = np.minimum(np.searchsorted(keys[k - 1], ctx), len(keys[k - 1]) - 1)
-                context[k][row] = at  # the frame's own unigram has no row: any row does, it has one context
+                context[k][row] = np.searchsorted(keys[k - 1], ctx)
         return suffix, context
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +141,7 @@ class CharModels:
             return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.float32)
         hashes, place, word = grams(words, len(self.keys))
         n = len(place)
-        unseen = np.float32(np.log(1e-6))
+        unseen = np.float32(-np.log(2.0 * ALPHABET))
         value = np.full((n, len(self.langs)), unseen, np.float32)
         before = None  # row of the (k)-gram that ends one place earlier, or -1
         for k, keys in enumerate(self.keys):
