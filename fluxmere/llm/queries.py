@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mix, packing, quality, shard, warc
+from . import langid, minhash, mix, packing, quality, shard, toxicity, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.op1,
     "op4_language_id": langid.op4,
+    "op2_toxicity": toxicity.op2,
     "op3_best_fit_packing": packing.op3,
     "op6_bag_minhash": minhash.op6,
     "op7_mix_sources": mix.op7,
