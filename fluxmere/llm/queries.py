@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mix, packing, quality, shard, toxicity, warc
+from . import embed, langid, minhash, mix, packing, quality, shard, toxicity, warc
 
 QUERIES = {
     "op1_warc_bundles": warc.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3,
     "op6_bag_minhash": minhash.op6,
     "op7_mix_sources": mix.op7,
+    "op8_cross_polytope": embed.op8,
     "op9_kd_shards": shard.op9,
     "op10_quality_rules": quality.op10,
 }
