@@ -12,7 +12,7 @@ from .textvec import counted, mix64, shingles, slices, utf8, words
 from .util import stored
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, TURNS = 25, 5, 4
+BANDS, ROWS, TURNS, STARS = 25, 5, 2, 6
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -161,8 +161,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked classes form a component, named by its least doc_id; kept marks the row with that id.
     Candidates are classes that agree in a band (25 bands of 5 rows miss a pair at 0.8 once in
     20,000). A bucket's classes are first compared with its least one only. Then components are
-    found, and buckets that still hold several compare their classes with one random member, a few
-    times; at last what is left is finished by comparing its classes across components: links inside a component can't change it, so no pair that could is left out, and a
+    found, and buckets that still hold several compare their classes with a few random members,
+    twice; at last what is left is finished by comparing its classes across components: links inside a component can't change it, so no pair that could is left out, and a
     large group of near copies never makes all its pairs.
     A text of 1 to 4 words is one shingle. Texts without words, null texts and rows with a null
     doc_id are never linked and are their own class. Where one doc_id stands on several rows, each
@@ -180,17 +180,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = members.filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
     links = stored(verified(stars, texts, size, least), "bag-links")
     comps = stored(components(links), "bag-components")
-    # Buckets that hold several components: another star from each of a few random members, then all that is left
+    # Buckets that hold several components: stars of a few random members each, then all that is left
     done = stars
     for turn in range(TURNS + 1):
         placed = stored(members.join(comps, members["rep"] == comps["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("c")), "bag-placed")
-        several = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn))).alias("s")).filter("lo < hi")
-        rest = placed.join(several.select("band", "key", "s"), ["band", "key"])
+        several = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "key", "n")
+        rest = placed.join(several, ["band", "key"])
+        some = rest.select("band", "key", F.col("rep").alias("y"), F.col("c").alias("cy"))
         if turn < TURNS:
-            some = rest.filter(F.col("c") != F.col("s.c")).select(F.least("rep", "s.rep").alias("a"), F.greatest("rep", "s.rep").alias("b")).distinct()
+            some = some.join(rest.filter(F.pmod(F.xxhash64("rep", "band", F.lit(turn)), F.col("n")) < STARS), ["band", "key"]).filter("c != cy")
         else:
-            some = rest.select("band", "key", F.col("rep").alias("x"), F.col("c").alias("cx")).join(rest.select("band", "key", F.col("rep").alias("y"), F.col("c").alias("cy")), ["band", "key"])
-            some = some.filter("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            some = some.join(rest, ["band", "key"]).filter("c < cy")
+        some = some.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
         some = stored(some.join(done, ["a", "b"], "left_anti"), "bag-pairs")
         if some.isEmpty():
             continue
