@@ -115,7 +115,7 @@ class Plan:
         right = view.df.withColumn("_rn", last).filter("_rn = 1").drop("_rn")
         renamed = {c: f"{alias}__{c}" if c in self.df.columns else c for c in right.columns}
         right = right.select(*[F.col(f"`{c}`").alias(new) for c, new in renamed.items()])
-        size = int(view.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(view.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         right = F.broadcast(right) if size <= BROADCAST_BYTES else right
         left = self.compiler()
         test = None

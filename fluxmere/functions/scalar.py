@@ -168,13 +168,13 @@ SCALARS = {
     "regexp_substring": two(lambda x, p: F.call_function("regexp_extract", S(x), p, F.lit(0))),
     # conversion
     "hex2dec": one(lambda x: F.conv(S(x), 16, 10).try_cast("bigint")), "dec2hex": one(lambda x: F.lower(F.hex(L(x)))), "encode": two(_encode), "decode": two(_decode),
-    "convert_tz": two(lambda x, z: F.from_utc_timestamp(T(x), z)), "to_seconds": one(lambda x: F.coalesce(F.unix_seconds(T(x.cast("string"))), L(x))),
+    "convert_tz": two(lambda x, z: F.from_utc_timestamp(T(x), z)), "to_seconds": one(lambda x: F.coalesce(F.unix_seconds(T(x.cast("string"))), L(x.cast("string")))),
     "chr": one(lambda x: F.when(L(x).between(0, 127), F.chr(L(x)))), "url_encode": one(lambda x: F.url_encode(S(x))), "url_decode": one(lambda x: F.try_url_decode(S(x))), "trunc": two(_trunc),
     # date and time
     "now": (0, 0, lambda: F.current_timestamp()), "current_time": (0, 0, lambda: F.date_format(F.current_timestamp(), "HH:mm:ss")), "current_date": (0, 0, lambda: F.date_format(F.current_date(), "yyyy-MM-dd")),
     "date_add": (3, 3, _date_add(1)), "date_sub": (3, 3, _date_add(-1)), "date_diff": (3, 3, _date_diff), "date_format": two(lambda x, p: F.call_function("date_format", T(x), _pattern(p))),
     "date_parse": two(lambda x, p: F.date_format(F.try_to_timestamp(S(x), _pattern(p)), "yyyy-MM-dd HH:mm:ss")), "extract": two(_extract),
-    "unix_timestamp": (0, 1, lambda x=None: F.unix_timestamp() if x is None else F.coalesce(F.unix_seconds(T(x.cast("string"))), L(x))),
+    "unix_timestamp": (0, 1, lambda x=None: F.unix_timestamp() if x is None else F.coalesce(F.unix_seconds(T(x.cast("string"))), L(x.cast("string")))),
     "from_unixtime": one(lambda x: F.date_format(F.timestamp_seconds(L(x)), "yyyy-MM-dd HH:mm:ss")), "year": one(lambda x: F.year(T(x))), "month": one(lambda x: F.month(T(x))),
     "day": one(lambda x: F.dayofmonth(T(x))), "hour": one(lambda x: F.hour(T(x))), "minute": one(lambda x: F.minute(T(x))), "second": one(lambda x: F.second(T(x))),
     "dayofweek": one(lambda x: F.dayofweek(T(x)) - 1), "dayofyear": one(lambda x: F.dayofyear(T(x))), "weekofyear": one(lambda x: F.weekofyear(T(x))),
