@@ -95,8 +95,8 @@ add("join_inner", "SELECT o_orderkey, c.c_name AS name, o_totalprice FROM orders
 add("join_left", "SELECT c_custkey, n.n_name AS nation FROM customer LEFT JOIN nation n ON c_nationkey = n.n_nationkey", "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 add("join_multi", "SELECT o_orderkey, c.c_name AS name, c.c_mktsegment AS seg, o_orderpriority FROM orders JOIN customer c ON o_custkey = c.c_custkey LEFT JOIN region r ON o_shippriority_ = r.r_regionkey".replace("o_shippriority_", "o_custkey"),
     "SELECT o_orderkey, c_name AS name, c_mktsegment AS seg, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN region ON o_custkey = r_regionkey")
-add("join_composite", "SELECT a.l_orderkey AS k, a.l_linenumber AS n, b.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber",
-    "WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) SELECT k, n, q FROM b")
+add("join_composite", "SELECT c_custkey, s.s_name AS name FROM customer LEFT JOIN supplier s ON c_nationkey = s.s_nationkey AND c_custkey = s.s_suppkey",
+    "SELECT c_custkey, s_name AS name FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND c_custkey = s_suppkey")
 add("join_aggregate", "SELECT c.c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer c ON o_custkey = c.c_custkey GROUP BY c.c_mktsegment", "SELECT c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 add("unnest", "SELECT p_partkey, unnest(split(p_type, ' ')) AS word FROM part", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
 _w = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -105,8 +105,8 @@ add("lag_default_offset", f"SELECT event_id, lag(value, 2, -1) OVER (PARTITION B
 add("lag_ignore_null", f"SELECT event_id, lag(CASE WHEN value > 50 THEN value END) OVER (PARTITION BY user_id) AS p, lag(CASE WHEN value > 50 THEN value END, 1, null, false) OVER (PARTITION BY user_id) AS q {E1}",
     f"SELECT event_id, lag(CASE WHEN value > 50 THEN value END IGNORE NULLS) {_w} AS p, lag(CASE WHEN value > 50 THEN value END) {_w} AS q {E1}")
 add("latest", f"SELECT event_id, latest(CASE WHEN value > 50 THEN value END, 0) OVER (PARTITION BY user_id) AS p {E1}", f"SELECT event_id, coalesce(last_value(CASE WHEN value > 50 THEN value END IGNORE NULLS) {_w}, 0) AS p {E1}")
-add("acc_running", f"SELECT event_id, round(acc_sum(value) OVER (PARTITION BY user_id), 4) AS s, acc_max(value) OVER (PARTITION BY user_id) AS hi, acc_min(value) OVER (PARTITION BY user_id) AS lo, acc_count(value) OVER (PARTITION BY user_id) AS n, round(acc_avg(value) OVER (PARTITION BY user_id), 3) AS a {E1}",
-    f"SELECT event_id, round(sum(value) {_w}, 4) AS s, max(value) {_w} AS hi, min(value) {_w} AS lo, count(value) {_w} AS n, round(avg(value) {_w}, 3) AS a {E1}")
+add("acc_running", f"SELECT event_id, round(acc_sum(value) OVER (PARTITION BY user_id), 4) AS s, acc_max(value) OVER (PARTITION BY user_id) AS hi, acc_min(value) OVER (PARTITION BY user_id) AS lo, acc_count(value) OVER (PARTITION BY user_id) AS n, round(acc_avg(value) OVER (PARTITION BY user_id), 9) AS a {E1}",
+    f"SELECT event_id, round(sum(value) {_w}, 4) AS s, max(value) {_w} AS hi, min(value) {_w} AS lo, count(value) {_w} AS n, round(avg(value) {_w}, 9) AS a {E1}")
 add("acc_start_reset", f"SELECT event_id, round(acc_sum(value, value > 50, value > 150) OVER (PARTITION BY user_id), 4) AS s {E1}",
     f"WITH a AS (SELECT *, sum(CASE WHEN value > 150 THEN 1 ELSE 0 END) {_w} AS e FROM events), b AS (SELECT *, max(CASE WHEN value > 50 AND NOT value > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, e ORDER BY ts, event_id) AS o FROM a) SELECT event_id, round(coalesce(sum(CASE WHEN o = 1 AND NOT value > 150 THEN value END) OVER (PARTITION BY user_id, e ORDER BY ts, event_id), 0), 4) AS s FROM b")
 add("changed_col", f"SELECT event_id, changed_col(true, event_type) OVER (PARTITION BY user_id) AS c {E1}", f"SELECT event_id, CASE WHEN event_type IS DISTINCT FROM lag(event_type) {_w} THEN event_type END AS c {E1}")
