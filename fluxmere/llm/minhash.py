@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = members.filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
     links = stored(verified(stars, texts, size, least), "bag-links")
     comps = stored(components(links), "bag-components")
-    # Buckets that hold several components: stars of a few random members each, then all that is left
+    # Buckets that hold several components: stars of a few random members each, then all that is left.
+    # A member is drawn by one hash for all buckets, so those of overlapping buckets are the same few
     done = stars
     for turn in range(TURNS + 1):
         placed = stored(members.join(comps, members["rep"] == comps["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("c")), "bag-placed")
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rest = placed.join(several, ["band", "key"])
         some = rest.select("band", "key", F.col("rep").alias("y"), F.col("c").alias("cy"))
         if turn < TURNS:
-            some = some.join(rest.filter(F.pmod(F.xxhash64("rep", "band", F.lit(turn)), F.col("n")) < STARS), ["band", "key"]).filter("c != cy")
+            some = some.join(rest.filter(F.shiftrightunsigned(F.xxhash64("rep", F.lit(turn)), 1) / float(1 << 63) * F.col("n") < STARS), ["band", "key"]).filter("c != cy")
         else:
             some = some.join(rest, ["band", "key"]).filter("c < cy")
         some = some.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
