@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .api import Engine
+from .plans.parser import parse
 
 TABLES = {
     "events": ["ts", "event_id"], "orders": ["o_orderkey"], "customer": ["c_custkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"],
@@ -137,15 +138,12 @@ add("cep_navigation", f"SELECT * {_m} A.event_id AS a, PREV(value) AS p AFTER MA
     f"SELECT event_id AS a, p FROM (SELECT event_id, value, lag(value) {_w} AS p FROM events) WHERE value > p")
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    e = Engine(spark)
-    for name, order in TABLES.items():
-        e.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), order)
-    return e
-
-
 def run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).sql(text)
+    """Register only the tables that the query names, so that no other footer is read."""
+    q, e = parse(text), Engine(spark)
+    for name in {q.table, *[join[1] for join in q.joins]}:
+        e.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLES[name])
+    return e.sql(text)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
