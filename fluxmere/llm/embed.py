@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from .components import components
 from .util import stored
 
 LEAST, TABLES, PROBES, BLOCK = 0.9, 8, 1, 1024
+RECALL = 0.999  # predicted for a pair at the least cosine
 _RNG = 0xC0FFEE
 
 
@@ -25,6 +28,30 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def width_of(d: int) -> int:
+    """The power of two that vectors are padded to; 64 at least, as signs and transforms of less rotate too few ways."""
+    return 1 << max(6, (d - 1).bit_length())
+
+
+@lru_cache(256)
+def tables_for(width: int, hashes: int, probes: int, least: float, tables: int = TABLES) -> int:
+    """Tables, ``tables`` at least, in which a pair with a cosine of ``least`` is predicted to meet with chance RECALL.
+
+    The chance of one table is measured on random pairs at that cosine: it falls with the width and
+    with every hash of the tuple. All pairs of one angle have it, so tables multiply.
+    """
+    rng = np.random.Generator(np.random.PCG64(_RNG + 1))
+    n = max(64, (1 << 15) // width)
+    a = unit_rows(rng.normal(size=(n, width)))
+    b = rng.normal(size=(n, width))
+    b = unit_rows(b - (b * a).sum(axis=1, keepdims=True) * a)
+    b = least * a + np.sqrt(max(0.0, 1 - least * least)) * b
+    ca, cb = codes(a, 16, hashes, probes), codes(b, 16, hashes, probes)
+    meet = (ca[:, :, :, None] == cb[:, :, None, :]).any(axis=(2, 3)).mean()
+    meet = min(max(meet, 1 / (16 * n)), 1 - 1e-9)
+    return max(tables, int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet))))
+
+
 def codes(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     """(rows, tables, 1 + probes) bucket codes, the own one first.
 
@@ -33,7 +60,7 @@ def codes(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     of the tuple, the closest vertex by the next; those that lose least come first.
     """
     n, d = x.shape
-    width = 1 << max(1, (d - 1).bit_length())
+    width = width_of(d)
     padded = np.zeros((n, width))
     padded[:, :d] = x
     rng = np.random.Generator(np.random.PCG64(_RNG))
@@ -115,12 +142,14 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = LEAST, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, hashes: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) a row: links are pairs with a cosine of at least ``least``.
 
     Equal vectors form a class and are compared once. Classes are dealt to the buckets of their own
     code and their probes in every table; a tuple has as many hashes as keep buckets small, the
-    logarithm of the number of classes. Buckets over ``block`` rows are cut into blocks and every pair of
+    logarithm of the number of classes, unless ``hashes`` says how many, and there are as many tables
+    (``tables`` at least) as keep the predicted recall at ``least`` at RECALL whatever the tuple's and
+    the vectors' length. Buckets over ``block`` rows are cut into blocks and every pair of
     blocks is a task of its own. Cosines are exact, in double precision, by matrix products; a pair is counted by the first
     bucket it meets in, so counts add up without listing pairs, and a block hands on one edge a
     vector for the components. Vectors of different lengths are never compared. Null, empty and zero
@@ -132,7 +161,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     rows = stored(rows.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.to_json("v"), 256))), "vectors")
     classes = stored(rows.filter("ok").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "vector-classes")
     total = classes.count()
-    hashes = max(1, round(np.log2(max(total, 2)) / 8))
+    hashes = hashes or max(1, round(np.log2(max(total, 2)) / 8))
 
     def hashed(batches):
         for b in batches:
@@ -143,7 +172,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
             for d in np.unique(size):
                 on = np.flatnonzero(size == d)
                 x = unit_rows(flat[at[on][:, None] + np.arange(d)[None, :]])
-                c = codes(x, tables, hashes, probes).reshape(len(on), -1)
+                c = codes(x, tables_for(width_of(int(d)), hashes, probes, least, tables), hashes, probes).reshape(len(on), -1)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(on)), b.column(1).take(pa.array(on)), pa.array(np.full(len(on), d, np.int32)), lists.take(pa.array(on)), pa.array(list(c), pa.list_(pa.int64()))],
                     names=["rep", "n", "d", "x", "codes"],
@@ -168,7 +197,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         pdf = pdf.sort_values("code", kind="stable")
         rep, n, code, mine = (pdf[c].to_numpy() for c in ("rep", "n", "code", "mine"))
         x = unit_rows(np.stack(pdf["x"].to_numpy()))
-        c = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), tables, 1 + probes)
+        c = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), -1, 1 + probes)
         if b1 == b2:
             i, j = bucket_pairs(code, x, least)
         else:
@@ -176,8 +205,9 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
             i, j = np.nonzero(x[left] @ x[right].T >= least)
             i, j = left[i], right[j]
         links, keep_i, keep_j = np.zeros(len(rep), np.int64), [], []
-        for a in range(0, len(i), 200_000):
-            p, q = i[a : a + 200_000], j[a : a + 200_000]
+        step = max(1, 3_200_000 // (c.shape[1] * c.shape[2]))
+        for a in range(0, len(i), step):
+            p, q = i[a : a + step], j[a : a + step]
             own = owned(c[p], c[q], table, code[p])
             p, q = p[own], q[own]
             links += np.bincount(p, n[q], len(rep)).astype(np.int64) + np.bincount(q, n[p], len(rep)).astype(np.int64)

@@ -262,6 +262,31 @@ def test_embeddings_match_all_pairs(spark):
     assert embed.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [5, 64, 300])
+def test_recall_holds_with_longer_tuples(d):
+    r = np.random.default_rng(9)
+    a = embed.unit_rows(r.normal(size=(400 if d < 100 else 150, d)))
+    b = r.normal(size=a.shape)
+    b = 0.9 * a + np.sqrt(0.19) * embed.unit_rows(b - (b * a).sum(axis=1, keepdims=True) * a)
+    for hashes in (1, 2, 3, 4) if d < 100 else (2, 3):
+        tables = embed.tables_for(embed.width_of(d), hashes, 1, 0.9)
+        meets = embed.codes(a, tables, hashes, 1)[:, :, :, None] == embed.codes(b, tables, hashes, 1)[:, :, None, :]
+        assert meets.any(axis=(1, 2, 3)).mean() >= 0.99
+
+
+@pytest.mark.parametrize("hashes", [3, 4])
+def test_embeddings_match_all_pairs_with_longer_tuples(spark, hashes):
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(100, 64)), 3, axis=0)
+    x = embed.unit_rows(x + r.normal(size=x.shape) * 0.32)
+    near = x @ x.T >= 0.9
+    want = near.sum() - len(x)
+    assert want > 150
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = sum(r["n_links"] for r in rows_of(embed.near_vectors(df, hashes=hashes)))
+    assert 0.99 * want <= links <= want
+
+
 def test_shards_are_even(spark):
     docs = make_docs(spark, sample(600)).selectExpr("doc_id", "text", "coalesce(octet_length(text), 0) + 16 AS bytes")
     from pyspark.sql import functions as F
