@@ -14,6 +14,7 @@ from .util import fold, local_path, new_path
 
 END = np.uint64(0xE7D0F7EC57A11E5D)
 CUTOFF, DISCOUNT = 2, 0.75
+ORDER = 3  # of the query, which cuts nothing off
 HELD = 1 << 21  # entries that a task sums up before it hands them on
 
 _POPCOUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -217,7 +218,7 @@ def range_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(40)).astype(np.int64) * shards) >> 24
 
 
-def pair_keys(ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray, end_id: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def pair_keys(ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray, end_id: int, size: int, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
     """(key of each token with the one before it, whether both are frequent enough); a text begins after an end."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -225,23 +226,59 @@ def pair_keys(ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray, end_id: i
     count[1:] = counts[:-1]
     first = bounds[:-1]
     before[first], count[first] = end_id, 1 << 40
-    ok = (ids >= 0) & (before >= 0) & (counts >= CUTOFF) & (count >= CUTOFF)
+    ok = (ids >= 0) & (before >= 0) & (counts >= cutoff) & (count >= cutoff)
     return before.astype(np.uint64) * np.uint64(size) + ids.astype(np.uint64), ok
 
 
+def longer_keys(grams: np.ndarray, ids: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each token with the gram that ends before it in its text, whether both are in the model)."""
+    before = np.empty_like(grams)
+    before[1:] = grams[:-1]
+    before[bounds[:-1]] = -1
+    return before.astype(np.uint64) * np.uint64(size) + ids.astype(np.uint64), (before >= 0) & (ids >= 0)
+
+
+class Lookup:
+    """Keys of a slice's tokens, level by level: a gram's id is its rank among the grams of its length."""
+
+    def __init__(self, model: dict, h: np.ndarray, bounds: np.ndarray):
+        self.model, self.bounds, self.size = model, bounds, max(1, sum(model["sizes"]))
+        vocabulary, self.tries = _load(model)
+        u, inverse = np.unique(h, return_inverse=True)
+        ids, counts = vocabulary.find(u)
+        self.ids, self.counts, self.end = ids[inverse], counts[inverse], int(vocabulary.find(np.array([END]))[0][0])
+
+    def keys(self, level: int, grams: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if level == 2:
+            return pair_keys(self.ids, self.counts, self.bounds, self.end, self.size, self.model["cutoff"])
+        return longer_keys(grams, self.ids, self.bounds, self.size)
+
+    def levels(self):
+        """(which tokens have a key, their values, backoffs, ids by token) of each level of the model."""
+        grams = None
+        for level, trie in enumerate(self.tries, 2):
+            keys, ok = self.keys(level, grams)
+            k, back = np.unique(keys[ok], return_inverse=True)
+            prob, gamma, place = trie.find(k)
+            grams = np.full(len(self.ids), -1)
+            grams[ok] = place[back]
+            yield ok, prob[back], gamma[back], grams
+
+
 class Trie:
-    """Bigram level: shards of key ranges; in each, contexts, pointers, successors, quantised values."""
+    """A level above words: shards of key ranges; in each, contexts, pointers, successors, quantised values."""
 
-    def __init__(self, folder: str, bounds: list[int], full: list[int], size: int, shared: dict[int, float]):
+    def __init__(self, folder: str, level: int, bounds: list[int], full: list[int], size: int, shared: dict[int, float]):
         self.bounds, self.size, self.shared = np.array(bounds, np.uint64), size, shared
+        self.start = np.concatenate([[0], np.cumsum(full)]).astype(np.int64)
         self.parts = [None if not n else (
-            EliasFano.load(f"{folder}/b{s}.contexts"), EliasFano.load(f"{folder}/b{s}.next"),
-            *(np.load(f"{folder}/b{s}.{k}.npy", mmap_mode="r") for k in ("prob", "backoff", "books")),
+            EliasFano.load(f"{folder}/g{level}-{s}.contexts"), EliasFano.load(f"{folder}/g{level}-{s}.next"),
+            *(np.load(f"{folder}/g{level}-{s}.{k}.npy", mmap_mode="r") for k in ("prob", "backoff", "books")),
         ) for s, n in enumerate(full)]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of the discounted probability or -inf, log10 of the context's backoff) of sorted keys."""
-        prob, back = np.full(len(keys), -np.inf), np.zeros(len(keys))
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 of the discounted probability or -inf, log10 of the context's backoff, id or -1) of sorted keys."""
+        prob, back, ids = np.full(len(keys), -np.inf), np.zeros(len(keys)), np.full(len(keys), -1)
         at = np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]])
         for s, part in enumerate(self.parts):
             a, b = at[s], at[s + 1]
@@ -256,16 +293,17 @@ class Trie:
             place = following.find(row[on] * self.size + word[on].astype(np.int64))
             hit = place >= 0
             prob[a + on[hit]] = books[0][codes[place[hit]]]
+            ids[a + on[hit]] = self.start[s] + place[hit]
         if self.shared:
             owner = (keys // np.uint64(self.size)).astype(np.int64)
             for c, value in self.shared.items():
                 back[owner == c] = value
-        return prob, back
+        return prob, back, ids
 
 
-def write_shard(folder: str, s: int, keys: np.ndarray, counts: np.ndarray, size: int, base: int, totals: np.ndarray) -> tuple[int, list]:
-    """Prune, smooth and write one range of bigrams. Returns (bigrams kept, sums of its first and last context)."""
-    keep = counts >= CUTOFF
+def write_shard(stem: str, cutoff: int, keys: np.ndarray, counts: np.ndarray, size: int, base: int, totals: np.ndarray) -> tuple[int, list]:
+    """Prune, smooth and write one range of a level. Returns (grams kept, sums of its first and last context)."""
+    keep = counts >= cutoff
     keys, counts = keys[keep], counts[keep]
     if not len(keys):
         return 0, []
@@ -277,11 +315,11 @@ def write_shard(folder: str, s: int, keys: np.ndarray, counts: np.ndarray, size:
     mass = np.add.reduceat(share, first)
     prob, book = quantise(np.log10(share))
     back, back_book = quantise(np.log10(np.maximum(1 - mass, 1e-9)))
-    EliasFano.build(ctx[first] - base, int(ctx[-1]) - base + 1, f"{folder}/b{s}.contexts")
-    EliasFano.build(owner * size + word, len(first) * size, f"{folder}/b{s}.next")
-    np.save(f"{folder}/b{s}.prob.npy", prob)
-    np.save(f"{folder}/b{s}.backoff.npy", back)
-    np.save(f"{folder}/b{s}.books.npy", np.stack([book, back_book]))
+    EliasFano.build(ctx[first] - base, int(ctx[-1]) - base + 1, f"{stem}.contexts")
+    EliasFano.build(owner * size + word, len(first) * size, f"{stem}.next")
+    np.save(f"{stem}.prob.npy", prob)
+    np.save(f"{stem}.backoff.npy", back)
+    np.save(f"{stem}.books.npy", np.stack([book, back_book]))
     return len(keys), [(int(ctx[first[k]]), float(mass[k])) for k in {0, len(first) - 1}]
 
 
@@ -289,17 +327,16 @@ BLOBS = "shard int, first long, keys binary, counts binary"
 _MODELS: dict = {}
 
 
-def _load(model: dict) -> tuple[Vocabulary, Trie | None]:
+def _load(model: dict) -> tuple[Vocabulary, list[Trie]]:
     if model["folder"] not in _MODELS:
         _MODELS.clear()
         vocabulary = Vocabulary(model["folder"], model["sizes"], model["total"], model["singles"])
         _MODELS[model["folder"]] = vocabulary
     vocabulary = _MODELS[model["folder"]]
-    if "bounds" not in model:
-        return vocabulary, None
-    if (model["folder"], "trie") not in _MODELS:
-        _MODELS[(model["folder"], "trie")] = Trie(model["folder"], model["bounds"], model["full"], max(1, sum(model["sizes"])), model["shared"])
-    return vocabulary, _MODELS[(model["folder"], "trie")]
+    for level, made in enumerate(model["levels"], 2):
+        if (model["folder"], level) not in _MODELS:
+            _MODELS[(model["folder"], level)] = Trie(model["folder"], level, size=max(1, sum(model["sizes"])), **made)
+    return vocabulary, [_MODELS[(model["folder"], level)] for level in range(2, len(model["levels"]) + 2)]
 
 
 def blobs(rows) -> pa.RecordBatch:
@@ -307,14 +344,18 @@ def blobs(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "first", "keys", "counts"])
 
 
-def train(texts: DataFrame) -> dict:
+def gathered(pdf) -> tuple[np.ndarray, np.ndarray]:
+    return merge([(unpack_keys(f, k), unpack_counts(c, (len(k) - 1) // k[0])) for f, k, c in zip(pdf["first"], pdf["keys"], pdf["counts"], strict=True)])
+
+
+def train(texts: DataFrame, order: int = 2, cutoff: int = CUTOFF) -> dict:
     """Count, smooth and write the model of all of ``texts`` (text) to the shared folder.
 
-    Unigrams, then bigrams: tasks sum up what they see and hand on sorted, gap-coded arrays, one a
-    shard; a shard is a range of keys, with as many shards as the input has 16 MB parts, so no task gathers
-    more as the input grows. Ranges of bigrams are cut by the counts of their contexts, inside a
-    frequent context if it outweighs a shard. Bigrams seen once are left to the backoff (a
-    documented cutoff; words seen once can't be in others). Files are written whole under a
+    Unigrams, then bigrams, then as many longer grams as ``order`` says: tasks sum up what they see
+    and hand on sorted, gap-coded arrays, one a shard; a shard is a range of keys, with as many shards
+    as the input has 16 MB parts, so no task gathers more as the input grows. Ranges are cut by the
+    counts of the contexts, inside a frequent context if it outweighs a shard. Grams seen fewer than
+    ``cutoff`` times are left to the backoff; 1 keeps all. Files are written whole under a
     temporary name first, so a repeated task does no harm. The driver holds a few numbers a shard.
     """
     spark = texts.sparkSession
@@ -331,9 +372,6 @@ def train(texts: DataFrame) -> dict:
                     yield from (blobs([r]) for r in sums.flush())
         yield from (blobs([r]) for r in sums.flush())
 
-    def gathered(pdf):
-        return merge([(unpack_keys(f, k), unpack_counts(c, (len(k) - 1) // k[0])) for f, k, c in zip(pdf["first"], pdf["keys"], pdf["counts"], strict=True)])
-
     def write_words(key, pdf):
         import pandas as pd
 
@@ -346,23 +384,31 @@ def train(texts: DataFrame) -> dict:
     sizes = [0] * shards
     for r in found:
         sizes[r["shard"]] = r["n"]
-    model = {"folder": folder, "sizes": sizes, "total": sum(r["total"] for r in found), "singles": sum(r["singles"] for r in found)}
-    size = max(1, sum(sizes))
-    if not found:
-        return model | {"bounds": [], "full": [0], "shared": {}}
+    model = {"folder": folder, "sizes": sizes, "total": sum(r["total"] for r in found), "singles": sum(r["singles"] for r in found), "cutoff": cutoff, "levels": []}
+    stem, totals = "u", {r["shard"]: r["total"] for r in found}
+    for level in range(2, order + 1) if found else ():
+        made, totals = longer(rows, model, level, stem, sizes, totals, shards, level == order)
+        model = model | {"levels": [*model["levels"], made]}
+        stem, sizes = f"g{level}-", made["full"]
+    return model
+
+
+def longer(rows: DataFrame, model: dict, level: int, stem: str, sizes: list[int], totals: dict, shards: int, last: bool) -> tuple[dict, dict]:
+    """Count, smooth and write a level. Its contexts are the grams below, ``sizes`` and ``totals`` a shard in files ``stem``."""
+    spark, folder, cutoff, size = rows.sparkSession, model["folder"], model["cutoff"], max(1, sum(model["sizes"]))
     before, at = {}, 0
-    for r in sorted(found, key=lambda r: r["shard"]):
-        before[r["shard"]] = at
-        at += r["total"]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    step = model["total"] / shards
+    for s in sorted(totals):
+        before[s] = at
+        at += totals[s]
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    step = at / shards
 
     def cut(batches):
         for b in batches:
             out = []
             for s in b.column(0).to_pylist():
-                counts = np.load(f"{folder}/u{s}.counts.npy", mmap_mode="r") if sizes[s] else np.zeros(0, np.int64)
-                total = np.cumsum(counts) + before.get(s, 0)
+                counts = np.load(f"{folder}/{stem}{s}.counts.npy", mmap_mode="r") if sizes[s] else np.zeros(0, np.int64)
+                total = np.cumsum(counts, dtype=np.int64) + before.get(s, 0)
                 for k in range(1, shards):
                     if before.get(s, 0) <= k * step < (total[-1] if len(total) else 0):
                         i = int(np.searchsorted(total, k * step, "right"))
@@ -371,54 +417,54 @@ def train(texts: DataFrame) -> dict:
                         out.append(int(starts[s] + i) * size + int(split * size))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["key"])
 
-    bounds = sorted({r["key"] for r in spark.range(shards).repartition(min(shards, 64)).mapInArrow(cut, "key long").collect()})
+    bounds = sorted({r["key"] for r in spark.range(len(sizes)).repartition(min(len(sizes), 64)).mapInArrow(cut, "key long").collect()})
     pieces = len(bounds) + 1
     limits = np.array(bounds, np.uint64)
 
-    def count_pairs(batches):
-        vocabulary, _ = _load(model)
-        end = int(vocabulary.find(np.array([END]))[0][0])
+    def count_grams(batches):
         sums = Sums(lambda k: np.searchsorted(limits, k, "right"), pieces)
         for batch in batches:
             for part in slices(batch, "text"):
-                h, text = tokens(part.column(0))
-                u, inverse = np.unique(h, return_inverse=True)
-                ids, counts = vocabulary.find(u)
-                keys, ok = pair_keys(ids[inverse], counts[inverse], text, end, size)
+                look, grams = Lookup(model, *tokens(part.column(0))), None
+                for *_, grams in look.levels():
+                    pass
+                keys, ok = look.keys(level, grams)
                 if sums.add(keys[ok]):
                     yield from (blobs([r]) for r in sums.flush())
         yield from (blobs([r]) for r in sums.flush())
 
-    def write_pairs(key, pdf):
+    def write_grams(key, pdf):
         import pandas as pd
 
         s = int(key[0])
         keys, counts = gathered(pdf)
-        vocabulary, _ = _load(model)
-        keep = counts >= CUTOFF
+        keep = counts >= cutoff
         ctx = (keys // np.uint64(size)).astype(np.int64)
-        totals = np.zeros(len(keys))
-        shard = np.searchsorted(vocabulary.start, ctx, "right") - 1
+        context_totals = np.zeros(len(keys))
+        shard = np.searchsorted(starts, ctx, "right") - 1
         for v in np.unique(shard[keep]):
             on = keep & (shard == v)
-            totals[on] = vocabulary.counts[v][ctx[on] - vocabulary.start[v]]
-        temporary = f"{folder}/part-{os.getpid()}-{s}"
+            context_totals[on] = np.load(f"{folder}/{stem}{v}.counts.npy", mmap_mode="r")[ctx[on] - starts[v]]
+        temporary = f"{folder}/part-{os.getpid()}-{level}-{s}"
         os.makedirs(temporary, exist_ok=True)
         base = bounds[s - 1] // size if s else 0
-        n, ends = write_shard(temporary, s, keys, counts, size, base, totals)
+        n, ends = write_shard(f"{temporary}/g{level}-{s}", cutoff, keys, counts, size, base, context_totals)
+        if not last and n:
+            np.save(f"{temporary}/g{level}-{s}.counts.npy", counts[keep].astype(np.int32 if counts.max() < 1 << 31 else np.int64))
         for f in os.listdir(temporary):
             os.replace(f"{temporary}/{f}", f"{folder}/{f}")
         os.rmdir(temporary)
-        return pd.DataFrame({"shard": [s] * max(1, len(ends)), "n": [n] * max(1, len(ends)), "context": [e[0] for e in ends] or [-1], "mass": [e[1] for e in ends] or [0.0]})
+        k = max(1, len(ends))
+        return pd.DataFrame({"shard": [s] * k, "n": [n] * k, "total": [int(counts[keep].sum())] * k, "context": [e[0] for e in ends] or [-1], "mass": [e[1] for e in ends] or [0.0]})
 
-    pairs = rows.mapInArrow(count_pairs, BLOBS).repartition(pieces, "shard").groupBy("shard").applyInPandas(write_pairs, "shard int, n long, context long, mass double").collect()
+    found = rows.mapInArrow(count_grams, BLOBS).repartition(pieces, "shard").groupBy("shard").applyInPandas(write_grams, "shard int, n long, total long, context long, mass double").collect()
     full, masses = [0] * pieces, {}
-    for r in pairs:
+    for r in found:
         full[r["shard"]] = r["n"]
         if r["context"] >= 0:
             masses.setdefault(r["context"], {})[r["shard"]] = r["mass"]
     shared = {c: float(np.log10(max(1 - sum(m.values()), 1e-9))) for c, m in masses.items() if len(m) > 1}
-    return model | {"bounds": bounds, "full": full, "shared": shared}
+    return {"bounds": bounds, "full": full, "shared": shared}, {r["shard"]: r["total"] for r in found if r["n"]}
 
 
 def save(path: str, array: np.ndarray) -> None:
@@ -435,7 +481,7 @@ def score(docs: DataFrame, model: dict, extra: tuple) -> DataFrame:
     """Rows of ``extra`` with token counts, the add-one unigram ``base_score`` and the model's ``score``.
 
     p(w | v) is the discounted share of the bigram plus, weighted by what the discount and the cutoff
-    left over, p(w) = (1 - unknown) c / N, where all unknown words together have the Good-Turing share
+    left over, p(w); p(w | u v) is that of the trigram plus p(w | v) so weighted, and so on. p(w) = (1 - unknown) c / N, where all unknown words together have the Good-Turing share
     of words seen once. Null and empty texts consist of their end. An empty training table
     leaves every token unknown, at probability 1.
     """
@@ -443,27 +489,20 @@ def score(docs: DataFrame, model: dict, extra: tuple) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", {SCORES}"
 
     def run(batches):
-        vocabulary, trie = _load(model)
-        size, total = max(1, sum(model["sizes"])), vocabulary.total
-        found = vocabulary.find(np.array([END]))[0][0]
+        vocabulary, _ = _load(model)
+        total = vocabulary.total
         norm = np.log10(total + sum(model["sizes"]) + 1)
         unknown, known = np.log10(vocabulary.unknown), np.log10(max(1 - vocabulary.unknown, 1e-9)) - np.log10(max(total, 1))
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, bounds = tokens(part.column(part.num_columns - 1))
-                u, inverse = np.unique(h, return_inverse=True)
-                ids, counts = vocabulary.find(u)
-                c = counts[inverse]
-                base = np.log10(counts + 1.0)[inverse] - norm
-                single = np.where(counts > 0, np.log10(np.maximum(counts, 1)) + known, unknown)[inverse]
-                value = single.copy()
-                if len(h):
-                    keys, ok = pair_keys(ids[inverse], c, bounds, int(found), size)
-                    # a frequent context before a rarer word: its backoff weighs the unigram
-                    k, back = np.unique(keys[ok], return_inverse=True)
-                    prob, gamma = trie.find(k)
-                    prob, gamma = prob[back], gamma[back]
-                    value[ok] = np.log10(10.0**prob + 10.0 ** (gamma + single[ok]))
+                look = Lookup(model, h, bounds)
+                c = look.counts
+                base = np.log10(c + 1.0) - norm
+                value = np.where(c > 0, np.log10(np.maximum(c, 1)) + known, unknown)
+                # a context that no gram follows here: its backoff weighs what is known of a shorter one
+                for ok, prob, gamma, _ in look.levels() if len(h) else ():
+                    value[ok] = np.log10(10.0**prob + 10.0 ** (gamma + value[ok]))
                 n = part.num_rows
                 text = np.repeat(np.arange(n), np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
@@ -477,5 +516,5 @@ def score(docs: DataFrame, model: dict, extra: tuple) -> DataFrame:
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = fold("doc_id", 7) == 2
-    model = train(docs.filter(~held))
+    model = train(docs.filter(~held), ORDER, 1)
     return score(docs.withColumn("held_out", held), model, ("doc_id", "held_out"))

@@ -347,6 +347,37 @@ def test_language_model_matches_plain_version(spark):
     assert lmscore.score(docs, none, ("doc_id",)).agg({"score": "sum"}).first()[0] == 0
 
 
+def test_trigrams_are_all_kept(spark):
+    docs = make_docs(spark, sample(200)).select("doc_id", "text")
+    train = docs.filter("doc_id % 7 != 2")
+    model = lmscore.train(train, 3, 1)
+    tok = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), "</s>"]
+    c, b, g = Counter(), Counter(), Counter()
+    for r in train.collect():
+        t = tok(r["text"])
+        c.update(t)
+        b.update(zip(["</s>", *t], t, strict=False))
+        g.update(zip(["</s>", *t], t, t[1:], strict=False))
+    assert [sum(m["full"]) for m in model["levels"]] == [len(b), len(g)]
+    n = sum(c.values())
+    unknown = max(sum(x == 1 for x in c.values()), 1) / n
+    pairs, triples = Counter(x for x, _ in b), Counter(x[:2] for x in g)
+    assert 1 in b.values() and 1 in g.values()
+    for r in rows_of(lmscore.score(docs, model, ("doc_id", "text"))):
+        t = ["</s>", *tok(r["text"])]
+        s = 0.0
+        for i in range(1, len(t)):
+            x, y = t[i - 1], t[i]
+            p = (1 - unknown) * c[y] / n if c[y] else unknown
+            if c[x] and c[y]:
+                p = 0.75 * pairs[x] / c[x] * p + max(b[(x, y)] - 0.75, 0) / c[x]
+                if i > 1 and b[(t[i - 2], x)]:
+                    k = b[(t[i - 2], x)]
+                    p = 0.75 * triples[(t[i - 2], x)] / k * p + max(g[(t[i - 2], x, y)] - 0.75, 0) / k
+            s += math.log10(p)
+        assert r["score"] == pytest.approx(s, rel=0.03)
+
+
 def test_crc_of_pieces():
     ids = np.arange(2050, dtype="<u4").tobytes()
     rows = packing.piece_rows(ids, 1024)
