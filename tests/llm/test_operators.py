@@ -164,6 +164,35 @@ def test_toxicity_restores_and_scores(spark):
     assert toxicity.toxicity(tests.limit(0), None).count() == 0
 
 
+def test_spread_insults_keep_their_borders(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = [r.choice([*EN, "i", "you"]) for _ in range(30)]
+        if i % 4 == 0:
+            words[r.randint(0, 29)] = r.choice(["idiot", "stupid", "trash"])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(data, data)
+    for text, want in (
+        ("you are a s t u p i d man", "you are a stupid man"),
+        ("I t r a s h it", "i trash it"),
+        ("s t u p i d, go", "stupid, go"),
+        ("go s t u p i d. Go", "go stupid. go"),
+        ('"s t u p i d"', '"stupid"'),
+        ("(s t u p i d)", "(stupid)"),
+        ("((((s t u p i d", "((((stupid"),
+        ("s.t.u.p.i.d.", "stupid."),
+        ("so _i-d-i-o-t_", "so _idiot_"),
+        ("a $ t u p ! d fox", "a stupid fox"),
+        ("y o u s t u p i d", "you stupid"),
+        ("y o u  i d i o t!", "you idiot!"),
+    ):
+        assert toxicity.restore(text, model.lm, {}) == want
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("you are a s t u p i d fox") >= toxicity.THRESHOLD > scorer.score("you are a fox")
+
+
 def jaccard(a, b):
     def bag(t):
         w = WORD.findall(t)
