@@ -266,7 +266,7 @@ class Lookup:
 
 
 class Trie:
-    """A level above words: shards of key ranges; in each, contexts, pointers, successors, quantised values."""
+    """A level above words: shards of key ranges; in each, contexts, one sequence of context * size + word, quantised values."""
 
     def __init__(self, folder: str, level: int, bounds: list[int], full: list[int], size: int, shared: dict[int, float]):
         self.bounds, self.size, self.shared = np.array(bounds, np.uint64), size, shared
