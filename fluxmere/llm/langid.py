@@ -8,10 +8,10 @@ from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import fold
+from .util import fold, held
 
 ORDER = 5
 #: Bounds of the fitting sample: texts a language, characters a text.
@@ -170,7 +170,7 @@ def letters(text: str) -> list[str]:
 class Scorer:
     """Word scores are kept, up to ``limit`` words; a text's score is the sum over its words."""
 
-    def __init__(self, models: CharModels, limit: int = 300_000):
+    def __init__(self, models: CharModels, limit: int = 120_000):
         self.models, self.limit, self.rows = models, limit, {}
         self.table = np.zeros((1024, len(models.langs) + 1), np.float32)
 
@@ -203,48 +203,68 @@ class Scorer:
         return out[:, :-1], out[:, -1]
 
 
-_SCORERS: dict[str, Scorer] = {}
+#: Lengths in characters at which a text counts as middling and as long; short texts scatter more.
+CLASSES = (20, 100)
 
 
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, order: int = ORDER) -> tuple[CharModels, np.ndarray] | None:
     """Models and rejection limits from labelled rows (text, lang), or None if there are none.
 
-    A bounded sample: about ``texts`` texts a language, by a hash of the text, none over ``chars``
-    characters. Each limit is the 0.999 quantile of the sample's own cross-entropy by language,
-    plus a nat: texts of 20 letters or more beyond the limits of all languages are rejected.
+    A bounded sample: the ``texts`` texts of a language with the least hashes, none over ``chars``
+    characters. Four fifths of them train the models, the others calibrate: a limit is the 0.999
+    quantile of their cross-entropy by language and length class, plus a nat. Short classes are
+    measured on runs of their words. A text beyond the limits of all languages is rejected.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= chars)).select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(texts / n))])
-    drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / (1 << 30) < F.element_at(share, F.col("lang")))
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(2 * texts / n))])
+    place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
+    # twice the number by a share of the hashes, then the least of them: what is drawn depends on the rows alone
+    drawn = rows.withColumn("place", place).filter(F.col("place") / (1 << 30) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "place"])
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("nth") <= texts)
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    kept: list[tuple[str, str]] = []
-    seen = Counter()
-    for r in drawn.toLocalIterator():
-        if seen[r["lang"]] < 2 * texts:
-            seen[r["lang"]] += 1
-            counts[r["lang"]].update(letters(r["text"]))
-            kept.append((r["text"], r["lang"]))
+    kept: dict[str, list[list[str]]] = {k: [] for k in sizes}
+    for r in drawn.select("text", "lang", "nth").toLocalIterator():
+        words = letters(r["text"])
+        if r["nth"] % 5 or sizes[r["lang"]] < 10:
+            counts[r["lang"]].update(words)
+        if r["nth"] % 5 == 0 or sizes[r["lang"]] < 10:
+            kept[r["lang"]].append(words)
     counts = {k: c for k, c in counts.items() if c}
     if not counts:
         return None
     models = CharModels.fit(counts, order)
-    limits = np.full(len(models.langs), -np.inf)
-    scorer = Scorer(models)
-    index = {k: i for i, k in enumerate(models.langs)}
-    rates: dict[int, list[float]] = {}
-    for a in range(0, len(kept), 500):
-        part = kept[a : a + 500]
-        total, size = scorer.texts([t for t, _ in part])
-        for (_, lang), row, n in zip(part, total, size, strict=True):
-            if n >= 20 and lang in index:
-                rates.setdefault(index[lang], []).append(-row[index[lang]] / n)
-    for i, x in rates.items():
-        limits[i] = np.quantile(x, 0.999) + 1.0
-    limits[limits == -np.inf] = np.inf
-    return models, limits
+    return models, calibrated(models, kept)
+
+
+def calibrated(models: CharModels, kept: dict[str, list[list[str]]]) -> np.ndarray:
+    """The largest cross-entropy that is taken for each language, a row a length class."""
+    limits = np.full((len(CLASSES) + 1, len(models.langs)), np.inf)
+    for i, lang in enumerate(models.langs):
+        words = list({w for t in kept.get(lang, ()) for w in t})
+        total, size = models.score(words)
+        cost = dict(zip(words, zip(-total[:, i], size, strict=True), strict=True))
+        for k, most in enumerate((*CLASSES, None)):
+            rates = []
+            for t in kept.get(lang, ()):
+                run, n = [], 0
+                for w in t:
+                    x, m = cost[w]
+                    run.append(x)
+                    n += m
+                    if most is not None and n >= most / 4:
+                        rates.append(sum(run) / n)
+                        run, n = [], 0
+                if most is None and n >= CLASSES[-1]:
+                    rates.append(sum(run) / n)
+            if rates:
+                limits[k, i] = np.quantile(rates, 0.999) + 1.0
+        known = limits[:, i][np.isfinite(limits[:, i])]
+        limits[:, i] = np.where(np.isfinite(limits[:, i]), limits[:, i], known.max() if len(known) else np.inf)
+    # a shorter text is never judged more strictly than a longer one
+    return np.maximum.accumulate(limits[::-1], axis=0)[::-1]
 
 
 def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", extra: tuple = ()) -> DataFrame:
@@ -264,10 +284,7 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text",
     token = f"{id(shared)}-{np.random.randint(1 << 60)}"
 
     def run(batches):
-        if token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[token] = Scorer(shared.value[0]) if shared.value else None
-        scorer = _SCORERS[token]
+        scorer = held(token, lambda: Scorer(shared.value[0]) if shared.value else None)
         limits = shared.value[1] if shared.value else None
         for b in batches:
             for a in range(0, b.num_rows, 1000):
@@ -283,7 +300,7 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text",
                     odds = np.exp(-(ce - ce.min(axis=1, keepdims=True)) * sharp)
                     low = ce[np.arange(len(best)), best]
                     score[has], rate[has] = 1 / odds.sum(axis=1), low
-                    bad[has] = (size[has] >= 20) & (ce > limits[None, :]).all(axis=1)
+                    bad[has] = (ce > limits[np.searchsorted(CLASSES, size[has], "right")]).all(axis=1)
                     for i, j in zip(np.flatnonzero(has), best, strict=True):
                         lang[i] = scorer.models.langs[j]
                 yield pa.RecordBatch.from_arrays(

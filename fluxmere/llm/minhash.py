@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .embed import roots
 from .textvec import counted, mix64, shingles, slices, utf8, words
-from .util import stored
+from .util import fresh, stored
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, TURNS, STARS = 25, 5, 2, 6
+BANDS, ROWS = 25, 5
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -117,88 +118,233 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
 
 
-def overlap(a: pa.Array, b: pa.Array, size: int) -> np.ndarray:
-    """Exact weighted Jaccard similarity of two columns of texts, row by row."""
-    n = len(a)
-    sides = []
-    for column in (a, b):
-        h, bounds = words(*utf8(column))
-        sides.append(counted(*shingles(h, bounds, size)))
-    key = np.concatenate([s[0] for s in sides])
-    text = np.concatenate([s[1] for s in sides])
-    count = np.concatenate([s[2] for s in sides])
-    if not len(key):
-        return np.zeros(n)
-    order = np.lexsort((key, text))
-    key, text, count = key[order], text[order], count[order]
-    same = np.flatnonzero((key[1:] == key[:-1]) & (text[1:] == text[:-1]))
-    both = np.bincount(text[same], np.minimum(count[same], count[same + 1]), n)
-    total = np.bincount(text, count, n)
-    return both / np.maximum(total - both, 1)
+class Bags:
+    """Shingle multisets of a slice's texts: for each text its distinct shingles, numbered, with counts."""
+
+    def __init__(self, column: pa.Array, size: int):
+        n = len(column)
+        key, self.text, self.count = counted(*shingles(*words(*utf8(column)), size))
+        self.kinds, self.id = np.unique(key, return_inverse=True)
+        order = np.lexsort((self.id, self.text))
+        self.text, self.id, self.count = self.text[order], self.id[order], self.count[order]
+        self.bounds = np.searchsorted(self.text, np.arange(n + 1))
+        self.total = np.bincount(self.text, self.count, n)
+        self.place = self.text * max(1, len(self.kinds)) + self.id
+
+    def near(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        """Whether each pair of texts has a weighted Jaccard similarity of at least ``least``."""
+        low, high = np.minimum(self.total[i], self.total[j]), np.maximum(self.total[i], self.total[j])
+        out = (low >= least * high) & (low > 0)
+        on = np.flatnonzero(out)
+        for a in range(0, len(on), 4096):
+            part = on[a : a + 4096]
+            x, y = i[part], j[part]
+            sizes = self.bounds[y + 1] - self.bounds[y]
+            pair = np.repeat(np.arange(len(part)), sizes)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.bounds[y][pair]
+            want = x[pair] * max(1, len(self.kinds)) + self.id[at]
+            spot = np.minimum(np.searchsorted(self.place, want), len(self.place) - 1)
+            hit = self.place[spot] == want
+            both = np.bincount(pair, np.where(hit, np.minimum(self.count[spot], self.count[at]), 0), len(part))
+            out[part] = both >= least * (self.total[x] + self.total[y] - both)
+        return out
+
+    def matrix(self, rows: np.ndarray, least: float, width: int = 2048) -> np.ndarray:
+        """``near`` for all pairs of ``rows`` at once: a multiset is a set of (shingle, occurrence), overlaps are products."""
+        n = len(rows)
+        size = self.bounds[rows + 1] - self.bounds[rows]
+        row = np.repeat(np.arange(n), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + self.bounds[rows][row]
+        times = self.count[at]
+        row, kind = np.repeat(row, times), np.repeat(self.id[at], times)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        order = np.lexsort((row, nth, kind))
+        row, kind, nth = row[order], kind[order], nth[order]
+        new = np.append(True, (kind[1:] != kind[:-1]) | (nth[1:] != nth[:-1]))[: len(row)]
+        column = np.cumsum(new) - 1
+        held = np.bincount(column)
+        both = np.zeros((n, n), np.float32)
+        few = (held[column] > 1) & (held[column] <= 8)
+        c, r = column[few], row[few]
+        for k in range(1, 8):
+            same = np.flatnonzero(c[k:] == c[:-k])
+            if len(same):
+                both += np.bincount(r[same] * n + r[same + k], minlength=n * n).reshape(n, n).astype(np.float32)
+        both += both.T
+        many = held[column] > 8
+        _, column = np.unique(column[many], return_inverse=True)
+        row = row[many]
+        cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            block = np.zeros((n, width), np.float32)
+            block[row[a:b], column[a:b] - k * width] = 1
+            both += block @ block.T
+        total = self.total[rows]
+        return both >= least * (total[:, None] + total[None, :] - both)
+
+
+def whole_groups(batches, rows: int = 2000, size: int = 2 << 20):
+    """Record batches of rows sorted by their first column, cut only between groups of equal values.
+
+    A group is a star or a pair of blocks, so what is held is bounded.
+    """
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        for part in slices(batch, "text", size):
+            g = np.asarray(part.column(0))
+            if held and (held >= rows or sum(p.nbytes for p in parts) >= size):
+                last = np.asarray(parts[-1].column(0))[-1]
+                cut = int(np.argmax(g != last)) if (g != last).any() else len(g)
+                parts.append(part.slice(0, cut))
+                part, g = part.slice(cut), g[cut:]
+                held += cut
+                if len(g):
+                    yield joined(parts)
+                    parts, held = [], 0
+            if part.num_rows:
+                parts.append(part)
+                held += part.num_rows
+    if held:
+        yield joined(parts)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def edges(g: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, g[1:] != g[:-1]))[: len(g)]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs``, ids of representatives, whose texts are at least ``least`` similar."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    need = stored(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"]).select("id", "text"), "near-texts")
+def stars(placed: DataFrame, size: int, least: float) -> DataFrame:
+    """Rows (g, rep, centre, text), sorted by g: the (a, b) of each group's members that are near one of its centres."""
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "ta", 1 << 20):
-                ok = pa.array(overlap(part.column(2), part.column(3), size) >= least)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
+        for part in whole_groups(batches):
+            g, rep, centre = (np.asarray(part.column(k)) for k in (0, 1, 2))
+            centre = np.asarray(centre, bool)
+            bags = Bags(part.column(3), size)
+            start = edges(g)
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(g))))
+            mine = np.flatnonzero(centre)
+            first = np.searchsorted(group[mine], np.arange(len(start) + 1))
+            others, out_a, out_b = np.flatnonzero(~centre), [], []
+            for k in range(int(np.diff(first).max(initial=0))):  # mostly one: a doc_id with several texts has as many
+                on = others[first[group[others]] + k < first[group[others] + 1]]
+                c = mine[first[group[on]] + k]
+                ok = bags.near(c, on, least)
+                out_a.append(rep[c[ok]])
+                out_b.append(rep[on[ok]])
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *out_a])), pa.array(np.concatenate([none, *out_b]))], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def blocks(placed: DataFrame, size: int, least: float, dense: int = 24) -> DataFrame:
+    """Rows (g, rep, c, side, text), sorted by g: links (a, b) that join different components ``c`` of a group.
+
+    A group whose sides are 0 is one block, compared with itself; else side 1 is compared with side 2.
+    A group hands on a spanning forest of its links, so at most one row a member.
+    """
+
+    def run(batches):
+        for part in whole_groups(batches):
+            g, rep, comp, side = (np.asarray(part.column(k)) for k in (0, 1, 2, 3))
+            bags = Bags(part.column(4), size)
+            start = np.append(edges(g), len(g))
+            i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            small_i, small_j = [], []
+            for a, b in zip(start[:-1], start[1:], strict=True):
+                rows = np.arange(a, b)
+                allowed = (comp[rows][:, None] != comp[rows][None, :]) & ((side[rows][:, None] == 0) | (side[rows][:, None] < side[rows][None, :]))
+                if b - a <= dense:
+                    x, y = np.nonzero(np.triu(allowed | allowed.T, 1))
+                    small_i.append(rows[x])
+                    small_j.append(rows[y])
+                elif allowed.any():
+                    x, y = np.nonzero(np.triu((allowed | allowed.T) & bags.matrix(rows, least), 1))
+                    low = roots(len(rows), x, y)
+                    on = np.flatnonzero(low != np.arange(len(rows)))
+                    i.append(rows[low[on]])
+                    j.append(rows[on])
+            if small_i:
+                x, y = np.concatenate(small_i), np.concatenate(small_j)
+                ok = bags.near(x, y, least)
+                i.append(x[ok])
+                j.append(y[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[np.concatenate(i)]), pa.array(rep[np.concatenate(j)])], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
 
-    left = need.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = need.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
+#: Members of a block and words in it: what a task compares at once.
+BLOCK, BLOCK_WORDS = 512, 300_000
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, component_id, n_words, kept) a row of ``docs``.
 
     Rows with the same words in the same order form a class, named by its least doc_id; classes
     whose shingle multisets have a weighted Jaccard similarity of ``least`` or more are linked, and
     linked classes form a component, named by its least doc_id; kept marks the row with that id.
     Candidates are classes that agree in a band (25 bands of 5 rows miss a pair at 0.8 once in
-    20,000). A bucket's classes are first compared with its least one only. Then components are
-    found, and buckets that still hold several compare their classes with a few random members,
-    twice; at last what is left is finished by comparing its classes across components: links inside a component can't change it, so no pair that could is left out, and a
-    large group of near copies never makes all its pairs.
+    20,000). A bucket's classes are first compared with its least one: stars, cut into blocks of
+    members, so a large group is many tasks and needs no pairs. Members of one component can't
+    change it, so buckets whose other members still lie in several components are then compared
+    only across components: a component that outgrows a block is cut into blocks of its own, the
+    others share blocks, and each pair of blocks but those of one component is compared inside a
+    task, by matrix products; a task hands on at most one link a member.
     A text of 1 to 4 words is one shingle. Texts without words, null texts and rows with a null
-    doc_id are never linked and are their own class. Where one doc_id stands on several rows, each
-    row is judged by its own words.
+    doc_id are never linked and are their own class. Rows that share a doc_id are one document with
+    several texts: what is near any of them is linked to it.
     """
     signed = stored(signatures(docs, doc_id, text, size, bands, rows), "bags")
     live = signed.filter("n_words > 0 AND doc_id IS NOT NULL")
-    classes = stored(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "bag-classes")
-    buckets = stored(
-        classes.select("rep", F.posexplode("bands").alias("band", "key")).groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("a")).filter("n > 1"),
-        "bag-buckets",
-    )
-    members = stored(classes.select("rep", F.posexplode("bands").alias("band", "key")).join(buckets, ["band", "key"]).select("band", "key", "a", "rep"), "bag-members")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    stars = members.filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    links = stored(verified(stars, texts, size, least), "bag-links")
+    classes = stored(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "bag-classes")
+    keys = classes.select("rep", "n_words", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a")).filter("n > 1")
+    members = stored(keys.join(buckets, "key").select("key", "n", "a", "rep", "n_words"), "bag-members")
+    ids = members.select("rep").distinct()
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    texts = stored(every.join(ids.hint("shuffle_hash"), every["doc_id"] == ids["rep"]).select("rep", "text"), "bag-texts")
+
+    # stars: a group is a centre with a block of its members
+    pairs = members.filter("rep != a").select("a", "rep", "n_words").distinct()
+    sizes = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
+    dealt = pairs.join(sizes, "a").select("a", "rep", F.xxhash64("a", F.pmod(F.xxhash64("rep"), "blocks")).alias("g"))
+    dealt = stored(dealt, "bag-stars")
+    ends = dealt.select("g", "rep", F.lit(False).alias("centre")).unionAll(dealt.select("g", F.col("a").alias("rep"), F.lit(True).alias("centre")).distinct())
+    placed = ends.join(texts, "rep").select("g", "rep", "centre", "text").repartition("g").sortWithinPartitions("g")
+    links = stored(stars(placed, size, least), "bag-links")
     comps = stored(components(links), "bag-components")
-    # Buckets that hold several components: stars of a few random members each, then all that is left.
-    # A member is drawn by one hash for all buckets, so those of overlapping buckets are the same few
-    done = stars
-    for turn in range(TURNS + 1):
-        placed = stored(members.join(comps, members["rep"] == comps["node"], "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("c")), "bag-placed")
-        several = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "key", "n")
-        rest = placed.join(several, ["band", "key"])
-        some = rest.select("band", "key", F.col("rep").alias("y"), F.col("c").alias("cy"))
-        if turn < TURNS:
-            some = some.join(rest.filter(F.shiftrightunsigned(F.xxhash64("rep", F.lit(turn)), 1) / float(1 << 63) * F.col("n") < STARS), ["band", "key"]).filter("c != cy")
-        else:
-            some = some.join(rest, ["band", "key"]).filter("c < cy")
-        some = some.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")).distinct()
-        some = stored(some.join(done, ["a", "b"], "left_anti"), "bag-pairs")
-        if some.isEmpty():
-            continue
-        done = stored(done.unionAll(some), "bag-done")
-        links = stored(links.unionAll(verified(some, texts, size, least)), "bag-links")
-        comps = stored(components(links), "bag-components")
+
+    # what stars leave: members of a bucket, but for its centre, in several components
+    others = members.filter("n > 2 AND rep != a").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "n_words", F.coalesce("component", "rep").alias("c"))
+    others = stored(others, "bag-others")
+    several = others.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum("n_words").alias("w"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark")).filter("lo < hi")
+    # equal sets of members are compared in one of their buckets
+    several = stored(several.groupBy("m", "w", "mark").agg(F.min("key").alias("key")).select("key", "m"), "bag-several")
+    if not several.isEmpty():
+        rest = others.join(several, "key").select("key", "rep", "n_words", "c")
+        own = rest.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n_words").alias("w"))
+        own = own.withColumn("pool", F.when((F.col("m") > block // 2) | (F.col("w") > BLOCK_WORDS // 2), F.col("c")))
+        # the blocks of a bucket: those of each large component, and of all others together (pool null)
+        pools = own.groupBy("key", "pool").agg(F.greatest(F.ceil(F.sum("m") / block), F.ceil(F.sum("w") / BLOCK_WORDS)).cast("int").alias("parts"))
+        rest = rest.join(own.filter("pool IS NOT NULL").select(F.col("key").alias("k"), "pool"), (F.col("key") == F.col("k")) & (F.col("c") == F.col("pool")), "left").drop("k")
+        mine = pools.select(F.col("key").alias("k"), F.col("pool").alias("p"), "parts")
+        rest = rest.join(mine, (F.col("key") == F.col("k")) & F.col("pool").eqNullSafe(F.col("p"))).select("key", "rep", "c", "pool", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"))
+        against = pools.select("key", F.col("pool").alias("pool2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
+        rest = rest.join(against, "key").filter(F.col("pool").isNull() | ~F.col("pool").eqNullSafe(F.col("pool2")))
+        here, there = (F.xxhash64(F.coalesce(p, F.lit(0)), p.isNull(), part.cast("long")) for p, part in ((F.col("pool"), F.col("part")), (F.col("pool2"), F.col("part2"))))
+        side = F.when(here == there, 0).when(here < there, 1).otherwise(2)
+        dealt = stored(rest.select("rep", "c", side.alias("side"), F.xxhash64("key", F.least(here, there), F.greatest(here, there)).alias("g")), "bag-blocks")
+        placed = dealt.join(texts, "rep").select("g", "rep", "c", "side", "text").repartition("g").sortWithinPartitions("g")
+        across = stored(blocks(placed, size, least), "bag-across")
+        if not across.isEmpty():
+            comps = stored(components(links.unionAll(across)), "bag-components")
     named = classes.select("k1", "k2", "rep").join(comps, classes["rep"] == comps["node"], "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_words", "k1", "k2").join(named, ["k1", "k2"], "left")
     linked = F.col("n_words") > 0
@@ -217,10 +363,16 @@ def op6(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies stays, the one with the least doc_id.
 
-    Rows that repeat a kept doc_id and its text leave one; rows without words or without an id stay.
+    Rows that repeat a kept doc_id and its text leave one, of several texts of one doc_id each stays;
+    rows without words or without an id stay. Other columns are passed on untouched.
     """
     cols = docs.columns
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").withColumn("_sha", F.sha1(F.coalesce("text", F.lit(""))))
-    rows = rows.dropDuplicates(["doc_id", "_sha"]).select(*cols)
-    return rows.unionAll(docs.filter("doc_id IS NULL").select(*cols))
+    kept, many, sha = fresh(docs, "_kept", "_many", "_sha")
+    near = stored(near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(kept)).agg((F.count("*") > 1).alias(many)), "bag-kept")
+    rows = docs.join(near, docs["doc_id"] == near[kept])
+    if near.filter(F.col(many)).isEmpty():
+        rows = rows.select(*[F.col(f"`{c}`") for c in cols])
+    else:
+        twice = rows.filter(F.col(many)).withColumn(sha, F.sha1(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", sha])
+        rows = rows.filter(~F.col(many)).select(*[F.col(f"`{c}`") for c in cols]).unionAll(twice.select(*[F.col(f"`{c}`") for c in cols]))
+    return rows.unionAll(docs.filter("doc_id IS NULL"))

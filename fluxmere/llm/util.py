@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -54,6 +55,31 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(token: str, make):
+    """This worker's ``make()`` for ``token``. One thing is held at a time: the last operator's goes before the next one's comes."""
+    if token not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[token] = make()
+    return _HELD[token]
+
+
+def release() -> None:
+    """Give freed memory back to the system; a worker lives on through later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(col: str, buckets: int) -> Column:
     """crc32 of an id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % buckets

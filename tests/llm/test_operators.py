@@ -213,16 +213,18 @@ def test_signatures_are_unbiased():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
 
 
-def test_near_duplicates_match_all_pairs(spark):
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_match_all_pairs(spark, block):
     r = random.Random(5)
     base = [f"w{r.randint(0, 400)}" for _ in range(150)]
     rows = sample(60)
-    for i in range(40):
+    for i in range(80):  # some near the base, some only near each other
         w = list(base)
-        for _ in range(r.randint(0, 4)):
-            w[r.randrange(150)] = f"n{r.randint(0, 10**6)}"
+        for k in range(r.randint(0, 4) if i < 40 else 5):
+            w[r.randrange(150) if i < 40 else 20 * k + i % 7] = f"n{r.randint(0, 10**6) if i < 40 else i % 7}"
+        w[149] = f"e{i % 50}"
         rows.append((1000 + i, " ".join(w), "en", "src0"))
-    got = rows_of(minhash.near_duplicates(make_docs(spark, rows)))
+    got = rows_of(minhash.near_duplicates(make_docs(spark, rows), block=block))
     assert len(got) == len(rows)
     texts = [(i, t) for i, t, *_ in rows if i is not None and WORD.search(t or "")]
     low = {i: i for i, _ in texts}
