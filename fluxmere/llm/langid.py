@@ -100,7 +100,7 @@ class CharModels:
                 d = min(0.9, max(0.1, n1 / max(n1 + 2 * n2, 1)))
                 ctx = context[k][row]
                 total = np.bincount(ctx, c, len(gamma))
-                kinds = np.bincount(ctx, minlength=len(gamma))
+                kinds = np.bincount(ctx[c > 0], minlength=len(gamma))  # the frame is no letter
                 seen = total > 0
                 gamma[seen, j] = d * kinds[seen] / total[seen]
                 value[row, j] = np.maximum(c - d, 0) / total[ctx]

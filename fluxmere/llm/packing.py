@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import gapless, stored
+from .util import fresh, gapless, held, stored
 
 # Fixed value: how the byte-level vocabulary splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -22,36 +23,51 @@ _SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
 class Words(dict):
-    """Little-endian ids of a blank and a word, as bytes. Past ``limit`` words, rare ones aren't kept."""
+    """Little-endian ids of a blank and a word, as bytes; ``room`` bounds the bytes that are kept."""
 
-    def __init__(self, encoder, limit: int = 400_000):
-        self.encoder, self.limit, self.parts = encoder, limit, {}
+    def __init__(self, encoder, room: int):
+        self.encoder, self.room = encoder, room
 
     def __missing__(self, word: str) -> bytes:
         out = self.encoder.whole(" " + word)
-        if len(self) < self.limit:
+        if self.room > 0 and len(word) < 64:
+            self.room -= 200 + len(word) + len(out)
             self[word] = out
         return out
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, each distinct word merged once.
+    """Byte-level BPE ids of whole texts, as the tokenizer itself gives them, each frequent word merged once.
 
     The vocabulary splits at the edge of a letter, digit or symbol run and keeps one blank in front
     of it, so a text without doubled white space can be cut at its blanks and each word be looked
-    up; other texts are split as a whole. Special tokens in a text are ordinary text.
+    up; other texts are split as a whole. A special token's own text in a document is that token, as
+    it is for the tokenizer; ``special=False`` reads it as ordinary text. A tokenizer of another make
+    encodes whole texts itself.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, room: int = 32 << 20, special: bool = True):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added, before = spec.get("added_tokens") or [], spec.get("pre_tokenizer") or {}
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added} if special else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        known = not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        known = known and spec["model"]["type"] == "BPE" and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.path, self._tokenizer = path, None
         self.split = regex.compile(SPLIT)
-        self.merged: dict[str, bytes] = {}
-        self.limit = limit
-        self.words = Words(self, limit)
-        self.merge = self._fast(path) or self._plain
+        self.words = Words(self, room)
+        self.merge = (self._fast(path) if known else None) or self._plain
+        self.known, self.ordinary = known, not special
+
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = self.known or self.ordinary
+        return self._tokenizer
 
     def _fast(self, path: str):
         """The same merges by rank, if the vocabulary is also there as ranks; else None."""
@@ -73,35 +89,26 @@ class Encoder:
     def _plain(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def part(self, piece: str) -> bytes:
-        out = self.merged.get(piece)
-        if out is None:
-            out = np.array(self.merge(piece), "<u4").tobytes()
-            if len(self.merged) < self.limit and len(piece) < 64:
-                self.merged[piece] = out
-        return out
-
     def whole(self, text: str) -> bytes:
-        return b"".join(map(self.part, self.split.findall(text)))
+        return b"".join(np.array(self.merge(x), "<u4").tobytes() for x in self.split.findall(text))
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return np.array(self._plain(text), "<u4").tobytes()
+        if self.special and any(map(text.__contains__, self.special)):
+            return b"".join(self.special.get(x) or self.between(x) for x in self.cut.split(text) if x)
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """Ids of text without special tokens."""
         if _SPACES.search(text):
-            return self.whole(text)
+            return b"".join(self.words[x[1:]] if x[0] == " " and len(x) > 1 and not x[1].isspace() else np.array(self.merge(x), "<u4").tobytes() for x in self.split.findall(text))
         first, _, rest = text.partition(" ")
         if not rest:
             return self.whole(text)
         return self.whole(first) + b"".join(map(self.words.__getitem__, rest.split(" ")))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def piece_rows(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32): a longer document's first piece takes what ``size`` leaves over."""
     n = len(ids) // 4
@@ -119,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 2, doc_id:
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = held(f"bpe {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             rows, ids = [[] for _ in range(5)], batch.column(0).to_pylist()
             for d, t in zip(ids, batch.column(1)):
@@ -196,7 +203,8 @@ def pack(parts: DataFrame, size: int, order: list[str]) -> DataFrame:
     table = sorted(plan(histogram, size))
     keys = np.array([(k << 44) + a for k, a, *_ in table], np.int64)
     first, bins, copies, offsets, lengths = (np.array([r[i] for r in table], np.int64) for i in (1, 3, 4, 5, 0))
-    ranked = gapless(parts, "length", F.struct(*order), order, "_rank")
+    rank, = fresh(parts, "_rank")
+    ranked = gapless(parts, "length", F.struct(*order), order, rank)
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = parts.columns
 
@@ -205,7 +213,7 @@ def pack(parts: DataFrame, size: int, order: list[str]) -> DataFrame:
             length = b.column(b.schema.get_field_index("length"))
             known = np.asarray(length.is_valid())
             k = np.asarray(length.fill_null(0)).astype(np.int64)
-            r = np.asarray(b.column(b.schema.get_field_index("_rank")).fill_null(0)).astype(np.int64)
+            r = np.asarray(b.column(b.schema.get_field_index(rank)).fill_null(0)).astype(np.int64)
             i = np.searchsorted(keys, (k << 44) + r, "right") - 1
             if len(keys):
                 t = r - first[i]

@@ -102,19 +102,20 @@ def gapless(df: DataFrame, group: str, spread: Column, order: list[str], out: st
     Rows are dealt to (group, part); a part holds about 1/4000 of all rows or 250, whichever is
     more. The table of part sizes has at most 4000 rows plus one a group, so it is small at any size.
     """
+    g, parts_, part, c, p, n, start = fresh(df, "_g", "_parts", "_part", "_c", "_p", "_n", "_start")
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     total = df.count()
     chunk = max(250, -(-total // 4000))
-    parts = sizes.select(F.col(group).alias("_g"), F.ceil(F.col("n") / chunk).cast("long").alias("_parts"))
+    parts = sizes.select(F.col(group).alias(g), F.ceil(F.col("n") / chunk).cast("long").alias(parts_))
     # groups may be many: join, don't broadcast by hand
-    dealt = df.join(parts, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")))
-    counts = dealt.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_g", "_p", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
-    dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1)
-    joined = dealt.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
-    return joined.withColumn(out, (F.col("_start") + F.col("_n")).cast("long")).drop("_g", "_p", "_c", "_start", "_n", "_part", "_parts")
+    dealt = df.join(parts, F.col(group).eqNullSafe(F.col(g)), "left").drop(g)
+    dealt = dealt.withColumn(part, F.pmod(F.xxhash64(spread), F.col(parts_)))
+    counts = dealt.groupBy(F.col(group).alias(g), F.col(part).alias(p)).agg(F.count("*").alias(c))
+    w = Window.partitionBy(g).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(g, p, F.coalesce(F.sum(c).over(w), F.lit(0)).alias(start))
+    dealt = dealt.withColumn(n, F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) - 1)
+    joined = dealt.join(starts, F.col(group).eqNullSafe(F.col(g)) & (F.col(part) == F.col(p)), "left")
+    return joined.withColumn(out, (F.col(start) + F.col(n)).cast("long")).drop(g, p, c, start, n, part, parts_)
 
 
 def weighted_cuts(df: DataFrame, group: str, key: str, weight: str, wanted: dict, bits: int, stop: dict, near: bool = True, whole: tuple = (1, 0.0)) -> dict:
@@ -129,15 +130,19 @@ def weighted_cuts(df: DataFrame, group: str, key: str, weight: str, wanted: dict
     span = {g: (0, 1 << bits, 0.0) for g in wanted}  # low, width, weight below low
     live, done = dict(span), {}
     while live:
-        col = F.col(group)
         shift = {g: max(0, width.bit_length() - 1 - 12) for g, (_, width, _) in live.items()}
-        lows = F.create_map(*[x for g, s in live.items() for x in (F.lit(g), F.lit(s[0]))])
-        highs = F.create_map(*[x for g, s in live.items() for x in (F.lit(g), F.lit(s[0] + s[1]))])
-        shifts = F.create_map(*[x for g, s in shift.items() for x in (F.lit(g), F.lit(1 << s))])
-        low = F.try_element_at(lows, col)
+        table = [(g, x[0], x[0] + x[1], 1 << shift[g]) for g, x in live.items()]
+        low, high, wide = fresh(df, "_low", "_high", "_wide")
+        if len(table) <= 64:
+            of = lambda i: F.try_element_at(F.create_map(*[y for t in table for y in (F.lit(t[0]), F.lit(t[i]))]), F.col(group))  # noqa: E731,B023
+            at = df.withColumns({low: of(1), high: of(2), wide: of(3)})
+        else:  # a row a group, as the driver holds them
+            g, = fresh(df, "_group")
+            small = df.sparkSession.createDataFrame(table, f"`{g}` {df.schema[group].dataType.simpleString()}, `{low}` long, `{high}` long, `{wide}` long")
+            at = df.join(F.broadcast(small), F.col(group) == F.col(g))
         rows = (
-            df.filter(low.isNotNull() & (F.col(key) >= low) & (F.col(key) < F.try_element_at(highs, col)))
-            .groupBy(col.alias("g"), F.call_function("div", F.col(key) - low, F.try_element_at(shifts, col)).alias("b"))
+            at.filter(F.col(low).isNotNull() & (F.col(key) >= F.col(low)) & (F.col(key) < F.col(high)))
+            .groupBy(F.col(group).alias("g"), F.call_function("div", F.col(key) - F.col(low), F.col(wide)).alias("b"))
             .agg(F.sum(weight).cast("double").alias("w"))
             .collect()
         )
