@@ -511,76 +511,99 @@ def test_shards_are_even(spark):
 
 def test_elias_fano(tmp_path):
     r = np.random.default_rng(1)
-    for n, u in ((1, 1), (5, 7), (1000, 1 << 40), (3000, 4000), (200, 1 << 20)):
+    for n, u in ((1, 1), (5, 7), (1000, 1 << 40), (3000, 4000), (200, 1 << 20), (900, 1 << 62)):
         v = np.sort(r.choice(u, n, replace=False) if u < 1 << 24 else np.unique(r.integers(0, u, 2 * n))[:n])
         path = str(tmp_path / f"e{n}")
         lmscore.EliasFano.build(v, u, path)
         e = lmscore.EliasFano.load(path)
-        assert (e.find(v.astype(np.int64)) == np.arange(n)).all()
+        assert (e.find(v.astype(np.int64)) == np.arange(n)).all() and (e.at(np.arange(n)) == v).all()
         other = np.setdiff1d(r.integers(0, u + 5, 500), v)
         assert (e.find(other) == -1).all()
+    v = np.concatenate([np.arange(500), np.full(300, 10**6), 10**6 + np.arange(1, 400), [10**9]])  # runs and equal numbers
+    lmscore.EliasFano.build(v, 10**9 + 1, str(tmp_path / "runs"))
+    e = lmscore.EliasFano.load(str(tmp_path / "runs"))
+    assert (e.at(np.arange(len(v))) == v).all() and set(e.find(np.arange(500))) == set(range(500)) and e.find(np.array([10**9]))[0] == len(v) - 1
 
 
-def test_language_model_matches_plain_version(spark):
-    docs = make_docs(spark, sample(200)).select("doc_id", "text")
+def lower_words(t):
+    return [*WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), "</s>"]
+
+
+def plain_model(texts, order, cutoff):
+    """(p(word | words before), counts) by the formula: absolute discounting down to shares of words."""
+    grams = [Counter() for _ in range(order)]
+    for t in texts:
+        w = lower_words(t)
+        grams[0].update(w)
+        w = ["</s>", *w]
+        for k in range(1, order):
+            grams[k].update(tuple(w[i : i + k + 1]) for i in range(len(w) - k))
+    n = sum(grams[0].values())
+    unknown = max(sum(x == 1 for x in grams[0].values()), 1) / n
+    kept = [{g: c for g, c in x.items() if k == 0 or c >= cutoff} for k, x in enumerate(grams)]
+    mass = Counter()
+    for k in range(1, order):
+        for g, c in kept[k].items():
+            mass[g[:-1]] += (c - 0.75) / (grams[0][g[0]] if k == 1 else kept[k - 1].get(g[:-1], math.inf))
+
+    def p(w, before):
+        out = (1 - unknown) * grams[0][w] / n if grams[0][w] else unknown
+        for k in range(1, min(order, len(before) + 1)):
+            h = tuple(before[-k:])
+            total = grams[0][h[0]] if k == 1 else kept[k - 1].get(h)
+            if not total:
+                break
+            if mass[h]:
+                c = kept[k].get((*h, w), 0)
+                out = max(c - 0.75, 0) / total + (1 - mass[h]) * out
+        return out
+
+    return p, grams, unknown
+
+
+@pytest.mark.parametrize(("order", "cutoff"), [(1, 1), (2, 2), (3, 1), (3, 2), (4, 1)])
+def test_language_model_matches_plain_version(spark, order, cutoff):
+    rows = [*sample(200), (900, "The unseen quick zebra brown fox jumps", "en", "s"), (909, "brown fox jumps over zebra zebra " * 300, "en", "s")]
+    docs = make_docs(spark, rows).select("doc_id", "text", "size").repartition(6)
     train = docs.filter("doc_id % 7 != 2")
-    got = rows_of(lmscore.score(docs, lmscore.train(train), ("doc_id", "text")))
+    model = lmscore.train(train, order, cutoff)
+    got = rows_of(lmscore.score(docs, model, ("doc_id", "text")))
     assert len(got) == docs.count()
-    tok = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), "</s>"]
-    c, b = Counter(), Counter()
-    for r in train.collect():
-        t = tok(r["text"])
-        c.update(t)
-        b.update(zip(["</s>", *t], t, strict=False))
-    n, v = sum(c.values()), len(c)
-    unknown = max(sum(x == 1 for x in c.values()), 1) / n
-    mass = Counter()
-    for (x, _), k in b.items():
-        mass[x] += (k - 0.75) / c[x] if k >= 2 else 0
+    p, grams, _ = plain_model([r["text"] for r in train.collect()], order, cutoff)
+    n, v = sum(grams[0].values()), len(grams[0])
+    assert [sum(m["full"]) for m in model["levels"]] == [sum(c >= cutoff for c in g.values()) for g in grams[1:]]
     for r in got:
-        t = tok(r["text"])
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(x in c for x in t), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t))
-        s = 0.0
-        for x, y in zip(["</s>", *t], t, strict=False):
-            p = (1 - unknown) * c[y] / n if c[y] else unknown
-            if c[x] >= 2 and c[y] >= 2:
-                p = (1 - mass[x]) * p + ((b[(x, y)] - 0.75) / c[x] if b[(x, y)] >= 2 else 0)
-            s += math.log10(p)
-        assert r["score"] == pytest.approx(s, rel=0.03)
+        t = lower_words(r["text"])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(x in grams[0] for x in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((grams[0][x] + 1) / (n + v + 1)) for x in t))
+        full = ["</s>", *t]
+        s = sum(math.log10(p(full[i], full[max(0, i - order + 1) : i])) for i in range(1, len(full)))
+        assert r["score"] == pytest.approx(s, rel=0.02, abs=0.05 + 0.002 * len(t))  # a byte a probability
     none = lmscore.train(docs.limit(0))
     assert lmscore.score(docs, none, ("doc_id",)).agg({"score": "sum"}).first()[0] == 0
-
-
-def test_trigrams_are_all_kept(spark):
-    docs = make_docs(spark, sample(200)).select("doc_id", "text")
-    train = docs.filter("doc_id % 7 != 2")
-    model = lmscore.train(train, 3, 1)
-    tok = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), "</s>"]
-    c, b, g = Counter(), Counter(), Counter()
-    for r in train.collect():
-        t = tok(r["text"])
-        c.update(t)
-        b.update(zip(["</s>", *t], t, strict=False))
-        g.update(zip(["</s>", *t], t, t[1:], strict=False))
-    assert [sum(m["full"]) for m in model["levels"]] == [len(b), len(g)]
-    n = sum(c.values())
-    unknown = max(sum(x == 1 for x in c.values()), 1) / n
-    pairs, triples = Counter(x for x, _ in b), Counter(x[:2] for x in g)
-    assert 1 in b.values() and 1 in g.values()
-    for r in rows_of(lmscore.score(docs, model, ("doc_id", "text"))):
-        t = ["</s>", *tok(r["text"])]
-        s = 0.0
-        for i in range(1, len(t)):
-            x, y = t[i - 1], t[i]
-            p = (1 - unknown) * c[y] / n if c[y] else unknown
-            if c[x] and c[y]:
-                p = 0.75 * pairs[x] / c[x] * p + max(b[(x, y)] - 0.75, 0) / c[x]
-                if i > 1 and b[(t[i - 2], x)]:
-                    k = b[(t[i - 2], x)]
-                    p = 0.75 * triples[(t[i - 2], x)] / k * p + max(g[(t[i - 2], x, y)] - 0.75, 0) / k
-            s += math.log10(p)
-        assert r["score"] == pytest.approx(s, rel=0.03)
+    assert lmscore.score(docs.limit(0), model, ("doc_id",)).count() == 0
+
+
+@pytest.mark.parametrize("cutoff", [1, 2])
+def test_language_model_sums_to_one(spark, cutoff):
+    """Over all words and an unknown one, behind known, rare, unknown and no words."""
+    rows = [(i, t, "en", "s") for i, (_, t, *_) in enumerate(sample(80)) if t and len(t) < 400]
+    docs = make_docs(spark, rows).select("doc_id", "text")
+    model = lmscore.train(docs, 3, cutoff)
+    words = {w for _, t, *_ in rows for w in lower_words(t)} - {"</s>"}
+    histories = ["", "the", "the quick", "fox jumps", "neverseen", "the neverseen", "neverseen the", rows[3][1]]
+    tests = [(k, f"{h} {w}".strip()) for k, h in enumerate(histories) for w in [*words, "qqqq"]] + [(-1 - k, h) for k, h in enumerate(histories)]
+    got = defaultdict(list)
+    for r in rows_of(lmscore.score(spark.createDataFrame(tests, "doc_id long, text string"), model, ("doc_id", "text"))):
+        got[r["doc_id"]].append((r["text"], r["score"]))
+    p, _, _ = plain_model([t for _, t, *_ in rows], 3, cutoff)
+    for k, h in enumerate(histories):
+        base = got[-1 - k][0][1] - math.log10(p("</s>", ["</s>", *lower_words(h)[:-1]][-2:]))
+        total = p("</s>", ["</s>", *lower_words(h)[:-1]][-2:])
+        for text, score in got[k]:
+            after = math.log10(p("</s>", ["</s>", *lower_words(text)[:-1]][-2:]))
+            total += 10 ** (score - after - base)
+        assert total == pytest.approx(1, rel=0.06), h
 
 
 def test_crc_of_pieces():
