@@ -67,6 +67,30 @@ def held(token: str, make):
     return _HELD[token]
 
 
+class Kept(dict):
+    """What ``make`` gives for a text, for the last ``limit`` to twice as many short texts asked for.
+
+    A full generation becomes the old one, and what is asked for again comes back from it, so frequent
+    texts stay and memory is bounded however many there are.
+    """
+
+    def __init__(self, make, limit: int = 80_000, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, text: str):
+        out = self.old.get(text)
+        if out is None:
+            out = self.make(text)
+            if len(text) > self.longest:
+                return out
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[text] = out
+        return out
+
+
 def release() -> None:
     """Give freed memory back to the system; a worker lives on through later stages."""
     import ctypes

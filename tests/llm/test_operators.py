@@ -82,7 +82,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_archives(pages.limit(0), new_path(spark, "warc")).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a b", "  two  spaces\n", "it's 12,5% <|endoftext|> «x»", "", "\n\n a", "für Straße 漢字 🙂", "x" * 3000, "tab\tend "])
+@pytest.mark.parametrize("text", ["a b", "  two  spaces\n", "it's 12,5% <|endoftext|> «x»", "", "\n\n a", "für Straße 漢字 🙂", "x" * 3000, "tab\tend ", " " * 40_000 + "a", "a \r\n\t  \n b  \n", "don't DON'T we'll 'sup''ve", "^" * 5000, "\u2028 \u00a0\u3000x", "e\u0301a ½ ٣٤ x²"])
 def test_ids_are_those_of_the_tokenizer(text):
     from tokenizers import Tokenizer
 
