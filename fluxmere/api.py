@@ -110,7 +110,9 @@ class Plan:
                 keys.append((sides[False], sides[True].value[1]))
             else:
                 raise SqlError("semantic", "ON takes equalities joined by AND", *n.at)
-        order = [F.col(f"`{c}`").desc_nulls_last() for c in view.order if c not in [k for _, k in keys]] or [F.lit(1)]
+        order = [F.col(f"`{c}`").desc_nulls_last() for c in view.order if c not in [k for _, k in keys]]
+        # a table whose order is its key has no last row: the greatest by all its columns, so that reruns agree
+        order = order or [F.to_json(F.struct(*[F.col(f"`{c}`") for c in view.df.columns])).desc()]
         last = F.row_number().over(W.partitionBy(*[k for _, k in keys]).orderBy(*order))
         right = view.df.withColumn("_rn", last).filter("_rn = 1").drop("_rn")
         renamed = {c: f"{alias}__{c}" if c in self.df.columns else c for c in right.columns}
@@ -127,6 +129,16 @@ class Plan:
 
     # direct
     def analytics(self, df: DataFrame, nodes: list[Node], c: Compiler) -> DataFrame:
+        if df.isStreaming:
+            found = [x for n in nodes for x in calls(n, "analytic") if not any(s is x for s, _ in c.special)]
+            if found:
+                df, all_names = analytic.streamed(df, found, c, self.order, "_a")
+                for call, names in zip(found, all_names, strict=True):
+                    if call.value == "changed_cols":
+                        self.spread[id(call)] = names
+                    else:
+                        c.special.append((call, F.col(f"`{names['']}`")))
+            return df
         for n in nodes:
             for call in calls(n, "analytic"):
                 if any(s is call for s, _ in c.special):
@@ -193,67 +205,106 @@ class Plan:
         return out, names
 
     def ordered(self, df: DataFrame, batch: list[str] | None = None) -> DataFrame:
-        """DISTINCT, ORDER BY and LIMIT, within each window's result if there is a window."""
+        """DISTINCT, ORDER BY and LIMIT, within each window's result if there is a window; windows come in order.
+
+        On the direct path of a stream, DISTINCT and LIMIT count over the whole stream, and a
+        micro-batch is ordered when it is delivered.
+        """
         q = self.q
         for name, _ in q.order:
             if name not in df.columns:
                 raise SqlError("semantic", f"ORDER BY names {name}, which isn't an output column", hint=near(name, df.columns))
         by = [F.col(f"`{n}`").desc() if d else F.col(f"`{n}`").asc() for n, d in q.order]
         if q.distinct:
-            df = df.distinct() if not batch else df.dropDuplicates()
+            df = df.dropDuplicates()
         if batch and q.limit is not None:
             shown = [c for c in df.columns if c not in batch]
             w = W.partitionBy(*batch).orderBy(*(by or [F.col(f"`{c}`") for c in shown]))
             df = df.withColumn("_top", F.row_number().over(w)).filter(F.col("_top") <= q.limit).drop("_top")
-        elif by and not batch:
-            df = df.orderBy(*by)
+        if by and not df.isStreaming:
+            df = df.orderBy(*(batch or []), *by)
         if q.limit is not None and not batch:
             df = df.limit(q.limit)
         return df
 
     # windows
     def windowed(self) -> DataFrame:
-        q, self.spread = self.q, {}
-        df, w = self.df, q.window
+        out, batch = self.aggregated(*self.assigned())
+        return self.ordered(out, batch).drop(*batch)
+
+    def option(self, name: str) -> float:
+        return windows.seconds(self.q.options.get(name, "0s"))
+
+    def assigned(self) -> tuple[DataFrame, list, list[Column]]:
+        """(rows with what marks their window, the groups and their names, Columns of the window to group by).
+
+        On a stream, counting and trigger windows, and windows with ALLOWEDLATENESS, are state operators that
+        hand on the rows of finished windows: ``released`` is set, and each micro-batch is grouped on its own.
+        """
+        q = self.q
+        df, w, late, self.released = self.df, q.window, 0.0, False
         c = self.compiler()
         df = df.filter(c(q.where)) if q.where is not None else df
-        if w is not None and w.kind in ("tumbling", "sliding", "session"):
+        timed = w is not None and w.kind in ("tumbling", "sliding", "session")
+        if timed:
             stamp = q.options.get("TIMESTAMP")
             if stamp is not None and stamp not in df.columns:
                 raise SqlError("semantic", f"TIMESTAMP names {stamp}, which isn't a column", hint=near(stamp, df.columns))
             df = windows.time_column(df, stamp, q.options.get("TIMEUNIT")) if stamp else df.withColumn("_time", F.current_timestamp())
             if self.streaming:
-                late = windows.seconds(q.options.get("MAXOUTOFORDERNESS", "0s")) + windows.seconds(q.options.get("ALLOWEDLATENESS", "0s"))
-                df = df.withWatermark("_time", f"{int(late * 1000)} milliseconds")
+                ooo, late = self.option("MAXOUTOFORDERNESS"), self.option("ALLOWEDLATENESS")
+                # a clock that runs far ahead must not close everyone's windows
+                df = df.filter(F.unix_micros("_time") <= F.unix_micros(F.current_timestamp()) + int((ooo + 86_400) * 1_000_000))
+                df = windows.idle(df, self.option("IDLETIMEOUT")) if stamp and "IDLETIMEOUT" in q.options else df
+                df = df.withWatermark("_time", f"{int((ooo + late) * 1000)} milliseconds")
+                df = windows.beating(df)
         elif w is not None and w.kind == "counting" and "TIMESTAMP" in q.options:
             raise SqlError("semantic", "a counting window takes no event time")
-        groups, extra = [(g, default_name(g, i)) for i, g in enumerate(q.group)], []
+        groups = [(g, default_name(g, i)) for i, g in enumerate(q.group)]
         for i, (g, _) in enumerate(groups):
             named = next((a for e, a in q.items if a and same(e, g)), None)
             groups[i] = (g, named or groups[i][1])
         c = self.compiler(df)
         keys = [c.row(g) for g, _ in groups]
+        order = [o for o in self.order if o in df.columns]
+        if self.streaming and w is not None and (w.kind in ("counting", "global") or late):
+            from .streaming import state
+
+            self.released = True
+            if w.kind == "counting":
+                return state.counted(df, keys, order, int(float(w.args[0])), self.option("STATETTL")), groups, [F.col("_bucket")]
+            if w.kind == "global":
+                df, _, fold = windows.trigger_columns(df, w, keys, c)
+                return state.triggered(df, order, fold, self.option("STATETTL")), groups, [F.col("_bucket")]
+            return state.fired(df, w, keys, late, state.spans_of(w, [windows.seconds(a) for a in w.args])), groups, [F.col("_window")]
         if w is not None and w.kind == "global":
-            df, extra = windows.global_windows(df, w, keys, c, self.order), [F.col("_bucket")]
-        elif w is not None:
-            df, extra = windows.assign(df, w, keys, self.order, self.streaming)
+            return windows.global_windows(df, w, keys, c, order), groups, [F.col("_bucket")]
+        if w is not None:
+            df, extra = windows.assign(df, w, keys, order, self.streaming)
+            return df, groups, extra
+        return df, groups, []
+
+    def aggregated(self, df: DataFrame, groups: list, extra: list[Column]) -> tuple[DataFrame, list[str]]:
+        """(the result with the columns of its windows, those columns)."""
+        q, w, self.spread = self.q, self.q.window, {}
         c = self.compiler(df)
         c.grouped = True
         c.keys = [(g, F.col(f"`{n}`")) for g, n in groups]
         inner = [c.row(g).alias(n) for g, n in groups]
         over_results = [n for e, _ in q.items for n in calls(e, "analytic")]
         bounds = w is not None and w.kind in ("tumbling", "sliding", "session")
-        ends = {"window_start": "start", "window_end": "end"}
+        ends = {"window_start": "start", "window_end": "end", "window_id": "id"}
+        nanos = lambda x: F.unix_micros(x) * 1000
         items, later = [], []
         for i, (e, alias) in enumerate(q.items):
             name = alias or default_name(e, i)
             if e.kind == "call" and e.value in ends:
-                if not bounds:
-                    field_ = F.min(self._arrival()) if ends[e.value] == "start" else F.max(self._arrival())
-                    items.append((F.unix_micros(field_) * 1000).alias(name))
-                else:
-                    later.append((name, (F.unix_micros(F.col(f"_window.{ends[e.value]}")) * 1000)))
+                lo, hi = (F.col("_window.start"), F.col("_window.end")) if bounds else (F.min(self._arrival()), F.max(self._arrival()))
+                value = {"start": lambda lo=lo, hi=hi: nanos(lo), "end": lambda lo=lo, hi=hi: nanos(hi), "id": lambda lo=lo, hi=hi: F.concat_ws("_", nanos(lo), nanos(hi))}[ends[e.value]]()
+                if bounds:
+                    later.append((name, value))
                     continue
+                items.append(value.alias(name))
             elif any(calls(e, "analytic")):
                 later.append((name, e))
                 continue
@@ -281,12 +332,14 @@ class Plan:
             h.special = [(n, F.col(f"`{x}`")) for n, x in hidden]
             h.keys = [(Node("col", [a]), col) for a, col in aliases.items()] + [(g, F.col(f"`{n}`")) for g, n in groups]
             out = out.filter(h(q.having))
+        if over_results and df.isStreaming:
+            raise SqlError("streaming", "stateful functions over window results run on bounded input only")
         if over_results:
             a = Compiler(out, F.lit(1))
             a.special = [(n, F.col(f"`{x}`")) for n, x in analytic_args]
             a.keys = [(g, F.col(f"`{n}`")) for g, n in groups]
             spot = out.withColumn("_at", F.unix_micros("_window.start") if bounds else F.col("_bucket") if extra else F.lit(0))
-            a.df, self.order = spot, ["_at"]
+            a.df, held, self.order = spot, self.order, ["_at"]
             for call in over_results:
                 if call.over is None:
                     from .plans.parser import Over
@@ -294,12 +347,10 @@ class Plan:
                     call.over = Over([g for g, _ in groups])
             a.types = {f.name: f.dataType for f in spot.schema.fields}
             out = self.analytics(spot, [e for _, e in later if isinstance(e, Node)], a)
+            self.order = held
             later = [(n, a(e) if isinstance(e, Node) else e) for n, e in later]
         batch = (["_window"] if bounds else ["_bucket"]) if extra else []
-        out = out.select(*[e.alias(n) for n, e in later], *[F.col(b) for b in batch])
-        if not batch:
-            return self.ordered(out)
-        return self.ordered(out, batch).drop(*batch)
+        return out.select(*[e.alias(n) for n, e in later], *[F.col(b) for b in batch]), batch
 
     def _arrival(self) -> Column:
         return F.col(f"`{self.order[0]}`").cast("timestamp")
@@ -311,7 +362,12 @@ class Plan:
             raise SqlError("semantic", "MATCH_RECOGNIZE can't be grouped")
         c = self.compiler()
         df = self.df.filter(c(q.where)) if q.where is not None else self.df
-        out = cep.recognize(df, q.match, self.compiler(df), self.order)
+        if self.streaming:
+            from .streaming import state
+
+            out = state.recognized(cep.Recognizer(df, q.match, self.compiler(df), self.order), self.option("STATETTL"))
+        else:
+            out = cep.recognize(df, q.match, self.compiler(df), self.order)
         self.df, self.qualifiers = out, {q.table: {x: x for x in out.columns}}
         self.spread = {}
         c = self.compiler(out)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import registry
-from ..functions.scalar import D, S, _cast, finite
+from ..functions.scalar import CASTS, EACH, D, S, _cast, _pattern, finite
 from ..plans.errors import SqlError, near
 from ..plans.parser import Node, parse
 
@@ -15,6 +18,26 @@ TEXT_CALLS = {"concat", "upper", "lower", "trim", "substring", "replace", "lpad"
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+#: Functions whose second argument is a pattern, and the type of their result; a pattern that can't be read gives NULL.
+PATTERNS = {"regexp_matches": "boolean", "regexp_replace": "string", "regexp_substring": "string", "date_format": "string", "date_parse": "string"}
+
+
+@lru_cache(1000)
+def readable(name: str, pattern) -> bool:
+    """Whether a literal regular expression or date pattern can be compiled; asked once, on the driver."""
+    from py4j.protocol import Py4JJavaError
+
+    spark = SparkSession.active()
+    try:
+        if name.startswith("regexp"):
+            spark._jvm.java.util.regex.Pattern.compile(str(pattern))
+        else:
+            spark.sql("SELECT 1").select(F.call_function("date_format", F.lit("2024-01-01").cast("timestamp"), _pattern(F.lit(str(pattern))))).collect()
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 def same(a: Node, b: Node) -> bool:
     """Whether two expressions read alike, wherever they stand."""
     if not isinstance(a, Node) or not isinstance(b, Node):
@@ -62,6 +85,7 @@ class Compiler:
         self.special: list[tuple[Node, Column]] = []
         self.keys: list[tuple[Node, Column]] = []
         self.grouped = False
+        self.elements: list[Column] = []
 
     def type_of(self, n: Node):
         if n.kind == "col":
@@ -201,6 +225,21 @@ class Compiler:
             out = F.when(t, self(value)) if out is None else out.when(t, self(value))
         return out.otherwise(self(other))
 
+    def element(self, x: Column, body: Node) -> Column:
+        self.elements.append(x)
+        try:
+            return self(body)
+        finally:
+            self.elements.pop()
+
+    def _elem(self, n: Node) -> Column:
+        if not self.elements:
+            raise SqlError("semantic", "# stands for an element inside braces only", *n.at)
+        out = self.elements[-1]
+        for step in n.value:
+            out = out.getField(step)
+        return out
+
     def _call(self, n: Node) -> Column:
         build = registry.lookup(n.value, len(n.args), n.at)
         kind = registry.kind(n.value)
@@ -208,7 +247,21 @@ class Compiler:
             args = [] if n.args and n.args[0].kind == "star" else [self.row(a) for a in n.args]
             return build(args, self.order)
         if n.value == "cast":
-            return _cast(self(n.args[0]), None, str(n.args[1].value).lower())
+            to = str(n.args[1].value).lower() if n.args[1].kind in ("lit", "col") else ""
+            to = n.args[1].value[-1].lower() if n.args[1].kind == "col" else to
+            if to not in CASTS and to not in ("string", "varchar", "text"):
+                raise SqlError("semantic", f"cast to unknown type {to}", *n.at, hint=near(to, [*CASTS, "string"]))
+            return _cast(self(n.args[0]), None, to)
+        if n.value in ("length", "len"):
+            c = self(n.args[0])
+            if isinstance(self.df.select(c).schema[0].dataType, T.ArrayType | T.MapType):
+                return F.when(c.isNotNull(), F.size(c)).cast("bigint")
+        if n.value in PATTERNS and n.args[1].kind == "lit" and not readable(n.value, n.args[1].value):
+            return F.lit(None).cast(PATTERNS[n.value])
+        if n.value in EACH:
+            if n.args[1].kind != "each":
+                raise SqlError("semantic", f"{n.value} takes an array and a test in braces", *n.at)
+            return EACH[n.value](self(n.args[0]), lambda x: self.element(x, n.args[1].args[0]))
         if n.value == "expr":
             if n.args[0].kind != "lit":
                 raise SqlError("semantic", "expr takes a literal text", *n.at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..plans.errors import SqlError
 from ..plans.parser import Node, Window, seconds
+from .ordered import by_key
 
 
 def span(text: str) -> str:
@@ -34,6 +37,18 @@ def time_column(df: DataFrame, name: str, unit: str | None) -> DataFrame:
     return df.withColumn("_time", t).filter(F.col("_time").isNotNull())
 
 
+def idle(df: DataFrame, after: float) -> DataFrame:
+    """Add a beat a second whose time is ``after`` seconds ago, so that the watermark goes on when a source falls silent."""
+    beats = df.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    beats = beats.select(F.timestamp_micros(F.unix_micros("timestamp") - int(after * 1_000_000)).alias("_time"), F.lit(True).alias("_beat"))
+    return df.withColumn("_beat", F.lit(False)).unionByName(beats, allowMissingColumns=True)
+
+
+def beating(df: DataFrame) -> DataFrame:
+    """Rows without the beats; not before the watermark has seen them, which a random test keeps the optimiser from."""
+    return df.filter(F.rand() >= F.when(F.col("_beat"), 2.0).otherwise(0.0)).drop("_beat") if "_beat" in df.columns else df
+
+
 def assign(df: DataFrame, w: Window, keys: list[Column], order: list[str], streaming: bool = False) -> tuple[DataFrame, list[Column]]:
     """Rows with their window, and the Columns to group by for it."""
     if w.kind == "tumbling":
@@ -85,67 +100,100 @@ def trigger(n: Node, found: list[Node]):
 
 
 class Running:
-    """One aggregate of a trigger, a row at a time."""
+    """One aggregate of a trigger, a row at a time. NULL is skipped, but for first_value and last_value."""
 
     def __init__(self, name: str):
-        self.name, self.n, self.total, self.low, self.high, self.all, self.first, self.last = name, 0, 0.0, None, None, [], None, None
+        self.name, self.n, self.total, self.square, self.low, self.high, self.all, self.first, self.last, self.rows = name, 0, 0.0, 0.0, None, None, [], None, None, 0
 
     def add(self, x) -> None:
-        if x is None or x != x:
+        x = None if x is not None and x != x else x
+        self.first = x if not self.rows else self.first
+        self.last, self.rows = x, self.rows + 1
+        if x is None:
             return
         self.n += 1
-        if self.name in ("sum", "avg"):
-            self.total += float(x)
+        if self.name in ("sum", "avg", "stddev"):
+            x = float(x)
+            before = self.total / (self.n - 1) if self.n > 1 else 0.0
+            self.total += x
+            self.square += (x - before) * (x - self.total / self.n)
         elif self.name in ("min", "max"):
             self.low = x if self.low is None else min(self.low, x)
             self.high = x if self.high is None else max(self.high, x)
-        elif self.name in ("median", "stddev"):
-            self.all.append(float(x))
-        self.first = x if self.first is None else self.first
-        self.last = x
+        elif self.name == "median":
+            bisect.insort(self.all, float(x))
 
     @property
     def value(self):
-        import statistics
-
+        if self.name in ("first_value", "last_value"):
+            return self.first if self.name == "first_value" else self.last
         if self.name == "count":
             return self.n
         if not self.n:
             return None
+        half = len(self.all) // 2
         return {
-            "sum": lambda: self.total, "avg": lambda: self.total / self.n, "min": lambda: self.low, "max": lambda: self.high, "median": lambda: statistics.median(self.all),
-            "stddev": lambda: statistics.stdev(self.all) if self.n > 1 else 0.0, "first_value": lambda: self.first, "last_value": lambda: self.last,
-        }[self.name]()
+            "sum": lambda: self.total,
+            "avg": lambda: self.total / self.n,
+            "min": lambda: self.low,
+            "max": lambda: self.high,
+            "median": lambda: self.all[half] if len(self.all) % 2 else (self.all[half - 1] + self.all[half]) / 2,
+            "stddev": lambda: math.sqrt(max(0.0, self.square) / (self.n - 1)) if self.n > 1 else 0.0,
+        }[self.name]()
 
 
-def global_windows(df: DataFrame, w: Window, keys: list[Column], compiler, order: list[str]) -> DataFrame:
-    """Number each key's firings; rows after the last firing go. A fold in order, a key a group."""
+def trigger_columns(df: DataFrame, w: Window, keys: list[Column], compiler):
+    """(rows with _keys and the trigger's arguments, a fold of them: firings before each row, and at the end all)."""
     found: list[Node] = []
     fires = trigger(w.trigger, found)
     names = [a.value for a in found]
     df = df.withColumn("_keys", F.struct(*keys) if keys else F.lit(1))
-    ins = {f"_t{i}": F.lit(1) if not a.args or a.args[0].kind == "star" else compiler.row(a.args[0]) for i, a in enumerate(found)}
-    df = df.withColumns(ins)
-    counts = [i for i, a in enumerate(found) if a.value == "count"]
-    simple = len(found) == 1 and counts and w.trigger.value in (">=", "=") and w.trigger.args[1].kind == "lit" and (not found[0].args or found[0].args[0].kind == "star")
-    if simple:  # a plain count fires every n rows: no fold needed
-        n = int(w.trigger.args[1].value)
-        by = W.partitionBy("_keys").orderBy(*order)
-        df = df.withColumn("_bucket", F.floor((F.row_number().over(by) - 1) / n).cast("long"))
-        return df.withColumn("_full", F.count(F.lit(1)).over(W.partitionBy("_keys", "_bucket")) == n).filter("_full").drop("_full")
-    schema = T.StructType([*df.schema.fields, T.StructField("_bucket", T.LongType())])
+    df = df.withColumns({f"_t{i}": F.lit(1) if not a.args or a.args[0].kind == "star" else compiler.row(a.args[0]) for i, a in enumerate(found)})
 
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        out, state, k = [], [Running(x) for x in names], 0
-        columns = [pdf[f"_t{i}"].tolist() for i in range(len(names))]
-        for row in zip(*columns, strict=True):
+    def fold_rows(pdf, state):
+        out, state, k = [], state or [Running(x) for x in names], 0
+        columns = [[None if x is None or x != x else x for x in pdf[f"_t{i}"].tolist()] for i in range(len(names))]
+        for row in zip(*columns, strict=True) if columns else ((),) * len(pdf):
             for s, x in zip(state, row, strict=True):
                 s.add(x)
             out.append(k)
             if fires([s.value for s in state]):
                 state, k = [Running(x) for x in names], k + 1
-        pdf["_bucket"] = out
-        return pdf[pdf["_bucket"] < k]
+        return [*out, k], state
+
+    return df, found, fold_rows
+
+
+def count_of(w: Window, found: list[Node]) -> int | None:
+    """After how many rows a plain count fires, if that is all the trigger asks."""
+    t = w.trigger
+    if len(found) != 1 or found[0].value != "count" or (found[0].args and found[0].args[0].kind != "star"):
+        return None
+    if t.kind != "bin" or t.args[0] is not found[0] or t.args[1].kind != "lit" or not isinstance(t.args[1].value, int | float):
+        return None
+    n = math.ceil(t.args[1].value)
+    n = n + 1 if t.value == ">" and n == t.args[1].value else n
+    return max(1, n) if t.value in (">=", ">") or (t.value == "=" and n == t.args[1].value and n >= 1) else None
+
+
+def global_windows(df: DataFrame, w: Window, keys: list[Column], compiler, order: list[str]) -> DataFrame:
+    """Number each key's firings; rows after the last firing go. A fold in order, which holds a window's rows."""
+    df, found, fold_rows = trigger_columns(df, w, keys, compiler)
+    n = count_of(w, found)
+    if n is not None:  # a plain count fires every n rows: no fold needed
+        by = W.partitionBy("_keys").orderBy(*order)
+        df = df.withColumn("_bucket", F.floor((F.row_number().over(by) - 1) / n).cast("long"))
+        return df.withColumn("_full", F.count(F.lit(1)).over(W.partitionBy("_keys", "_bucket")) == n).filter("_full").drop("_full")
+    schema = T.StructType([*df.schema.fields, T.StructField("_bucket", T.LongType())])
+
+    def step(pdf, held, last):
+        import pandas as pd
+
+        rest, done, running = held or (None, 0, None)
+        numbers, running = fold_rows(pdf, running)
+        pdf["_bucket"] = [done + k for k in numbers[:-1]]
+        pdf = pd.concat([rest, pdf], ignore_index=True) if rest is not None else pdf
+        fired = done + numbers[-1]
+        return pdf[pdf["_bucket"] < fired], (pdf[pdf["_bucket"] >= fired], fired, running)
 
-    return df.groupBy("_keys").applyInPandas(fold, schema)
+    return by_key(df, keys, order, schema, step)

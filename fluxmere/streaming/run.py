@@ -5,46 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..api import Engine, Plan
-from ..operators.compile import calls
 from ..plans.errors import SqlError
-from ..plans.parser import parse, seconds
+from ..plans.parser import Window, parse
 
 
-def stream(engine: Engine, text: str) -> DataFrame:
-    """A streaming DataFrame: filters, projections, lookup joins; tumbling, sliding and session windows.
+def parts(engine: Engine, text: str) -> tuple[Plan, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(plan, what runs as a stream, what is done to each of its micro-batches).
 
-    Windows take event time: the watermark trails by MAXOUTOFORDERNESS plus ALLOWEDLATENESS. Queries
-    that need a fold over each key's rows in order (counting and trigger windows, stateful functions,
-    patterns) run on bounded input only.
+    The stream holds all state; a micro-batch has whole windows, so their results are ordered, made
+    distinct and limited one by one. An aggregate without a window has windows of 10 seconds.
     """
     q = parse(text)
     plan = Plan(engine, q, streaming=True)
-    if plan.kind == "cep" or (q.window is not None and q.window.kind in ("counting", "global")):
-        raise SqlError("streaming", "this query runs on bounded input only")
-    if any(any(calls(e, "analytic")) for e in (*[x for x, _ in q.items], q.where) if e is not None):
-        raise SqlError("streaming", "stateful functions run on bounded input only")
     if plan.kind == "window" and q.window is None:
-        raise SqlError("streaming", "an aggregate over a stream needs a window")
-    held, q.order, q.limit, q.distinct = (q.order, q.limit, q.distinct), [], None, False
-    out = plan.run()
-    q.order, q.limit, q.distinct = held
+        q.window = Window("tumbling", ["10s"])
+    for join in q.joins:
+        plan.enrich(*join)
+    if plan.kind != "window":
+        out = plan.patterns() if plan.kind == "cep" else plan.direct()
+        by = [F.col(f"`{n}`").desc() if d else F.col(f"`{n}`") for n, d in q.order]
+        return plan, out, lambda batch: batch.orderBy(*by) if by else batch
+    rows, groups, extra = plan.assigned()
+    if plan.released:
+
+        def finish(batch: DataFrame) -> DataFrame:
+            out, marks = plan.aggregated(batch, groups, extra)
+            return plan.ordered(out, marks).drop(*marks)
+
+        return plan, rows, finish
+    out, marks = plan.aggregated(rows, groups, extra)
+    return plan, out, lambda batch: plan.ordered(batch, marks).drop(*marks)
+
+
+def stream(engine: Engine, text: str) -> DataFrame:
+    """A streaming DataFrame of a query's results: all but what needs whole windows at once, which ``start`` delivers.
+
+    Windows take event time: the watermark trails by MAXOUTOFORDERNESS.
+    """
+    plan, out, _ = parts(engine, text)
+    if plan.kind == "window":
+        if plan.released:
+            raise SqlError("streaming", "counting and trigger windows and ALLOWEDLATENESS need start(), which groups each window as a whole")
+        return out.drop("_window")
     return out
 
 
 def start(engine: Engine, text: str, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str = "1 second") -> StreamingQuery:
-    """Run a query; ``sink`` gets each finished batch, ordered, distinct and limited as the query says."""
-    q = parse(text)
-    late = bool(q.window) and seconds(q.options.get("ALLOWEDLATENESS", "0s")) > 0
-    df = stream(engine, text)
+    """Run a query; ``sink`` gets each finished batch, ordered, distinct and limited as the query says, in turn.
 
-    def deliver(batch: DataFrame, number: int) -> None:
-        batch = batch.distinct() if q.distinct else batch
-        if q.order:
-            batch = batch.orderBy(*[batch[n].desc() if d else batch[n].asc() for n, d in q.order])
-        sink(batch.limit(q.limit) if q.limit is not None else batch, number)
-
-    writer = df.writeStream.foreachBatch(deliver).outputMode("update" if late else "append").option("checkpointLocation", checkpoint)
+    With ALLOWEDLATENESS, a window comes once the watermark passes its end, and again, whole and with the
+    same ``window_id()``, after each micro-batch that brings rows late for it.
+    """
+    _, df, finish = parts(engine, text)
+    writer = df.writeStream.foreachBatch(lambda batch, number: sink(finish(batch), number)).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
