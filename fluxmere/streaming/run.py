@@ -60,6 +60,16 @@ def start(engine: Engine, text: str, sink: Callable[[DataFrame, int], None], che
     With ALLOWEDLATENESS, a window comes once the watermark passes its end, and again, whole and with the
     same ``window_id()``, after each micro-batch that brings rows late for it.
     """
-    _, df, finish = parts(engine, text)
+    plan, df, finish = parts(engine, text)
     writer = df.writeStream.foreachBatch(lambda batch, number: sink(finish(batch), number)).outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    if not once:
+        return writer.trigger(processingTime=every).start()
+    # keys that time out by the clock would keep a run of all available input going for ever
+    name, spark = "spark.sql.streaming.noDataMicroBatches.enabled", engine.spark
+    held = spark.conf.get(name)
+    try:
+        if "STATETTL" in plan.q.options:
+            spark.conf.set(name, "false")
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, held)
