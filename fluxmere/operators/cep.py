@@ -297,13 +297,18 @@ def attempt(auto: Automaton, rows: dict, tests: dict, tracked: Tracked, times: l
     return (labels(best) if best else None), bool(live) and at >= n and open_end
 
 
-def matches(auto: Automaton, rows: dict, tests: dict, tracked: Tracked, times: list[float], within: float, skip: tuple, start: int = 0, number: int = 0, open_end: bool = False, ahead: int = 0):
+def matches(auto: Automaton, rows: dict, tests: dict, tracked: Tracked, times: list[float], within: float, skip: tuple, start: int = 0, number: int = 0, open_end: bool = False, ahead: int = 0, begins=None):
     """(number, first row, labels) of each match from row ``start`` on; then (None, row to go on from, None).
 
-    With an open end, it stops at the first attempt that later rows could still change.
+    With an open end, it stops at the first attempt that later rows could still change. ``begins`` has, for
+    each row, the next one on which a first symbol's condition holds, where that is known.
     """
     n = len(times)
     while start < n:
+        if begins is not None:
+            start = begins[start]
+            if start >= n:
+                break
         found, waits = attempt(auto, rows, tests, tracked, times, within, start, number + 1, open_end)
         if waits or (open_end and start + (len(found) if found else 1) + ahead > n):
             break
@@ -410,7 +415,7 @@ class Recognizer:
                 tests[one] = (lambda f, flags=flags: flags[f.at]) if flags is not None else self.tests[s]
         out, start = [], skipped
         times = _seconds(pdf[self.by[0]].tolist())
-        for k, start, found in matches(self.auto, rows, tests, self.tracked, times, self.within, self.m.skip, skipped, number, open_end, self.ahead):
+        for k, start, found in matches(self.auto, rows, tests, self.tracked, times, self.within, self.m.skip, skipped, number, open_end, self.ahead, self.begins(pdf)):
             if k is None:
                 break
             number, sums = k, [self.told.empty()]
@@ -422,6 +427,20 @@ class Recognizer:
                 out.append([*(rows[f.name][at] for f in self.fields), *values])
         return out, start, number
 
+    def begins(self, pdf) -> list[int] | None:
+        """For each row, the first one from there on that a match can begin with, if Spark has computed the conditions."""
+        import numpy as np
+
+        symbols = {sym for s in self.auto.ready[self.auto.start] for sym, _ in self.auto.moves[s] if sym}
+        tested = {one: s for s in self.m.define for one in self.subset.get(s, [s])}
+        if not all(tested.get(s) in self.pre for s in symbols):
+            return None
+        can = np.zeros(len(pdf), bool)
+        for s in symbols:
+            can |= pdf[f"_d_{tested[s]}"].to_numpy(dtype=bool)
+        at = np.where(can, np.arange(len(pdf)), len(pdf))
+        return np.minimum.accumulate(at[::-1])[::-1].tolist()
+
     def frame(self, out: list):
         """Result rows as pandas, in the types of the schema."""
         import pandas as pd
