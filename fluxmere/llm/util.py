@@ -45,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it is read straight from files, so that row numbers come out alike each time; else written first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, name) if any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "ExistingRDD")) else df
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables written by ``stored`` that nothing reads any more."""
     for df in frames:

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import local_path, new_path, stored
+from .util import local_path, new_path, settled, stored
 
 # Magic numbers of the seekable format (skippable frames, seek table footer).
 SKIPPABLE_TABLE, SKIPPABLE_MAP, SEEK_FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -159,10 +159,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, frame_bytes: i
     all others; of repeated rows with one page_id, the first row is the response; a null url becomes
     about:blank; other columns are not read. An empty table gives no archive and an empty index.
     The group's first row is found by a partial aggregate, and joined back by digest, so a payload
-    that many rows share is a skewed join that AQE splits, never one task.
+    that many rows share is a skewed join that AQE splits, never one task. Input that comes out of a
+    shuffle is written first: rows are told apart by their place.
     """
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    pages = settled(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload")), "warc-pages")
+    rows = pages.withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     place = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))
     first = rows.filter(F.col("size") >= least).groupBy(F.col("sha").alias("sha_")).agg(F.min(place).alias("first"))
