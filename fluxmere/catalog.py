@@ -128,16 +128,42 @@ add("cep_alternation", f"SELECT * {_m} A.event_id AS a, CLASSIFIER() AS c AFTER
     f"SELECT event_id AS a, CASE n WHEN 'view' THEN 'B' ELSE 'C' END AS c FROM (SELECT event_id, event_type, lead(event_type) {_w} AS n FROM events) WHERE event_type = 'click' AND n IN ('view', 'error')")
 add("cep_within", f"SELECT * {_m} A.event_id AS a, B.event_id AS b AFTER MATCH SKIP TO NEXT ROW PATTERN (A B) WITHIN 2 HOURS DEFINE A AS value > 20, B AS value > A.value)",
     f"SELECT event_id AS a, b FROM (SELECT event_id, value, ts, lead(event_id) {_w} AS b, lead(value) {_w} AS v, lead(ts) {_w} AS t FROM events) WHERE value > 20 AND v > value AND t - ts <= INTERVAL 2 HOUR")
-add("cep_all_rows", f"SELECT event_id, c, n {_m} CLASSIFIER() AS c, MATCH_NUMBER() AS n, SUM(A.value) AS s ALL ROWS PER MATCH PATTERN (A+ B) WITHIN '30d' DEFINE A AS value > 50, B AS value <= 50)", None)
+add("cep_all_rows", f"SELECT event_id, c, n {_m} CLASSIFIER() AS c, MATCH_NUMBER() AS n, SUM(A.value) AS s ALL ROWS PER MATCH PATTERN (A+ B) WITHIN '30d' DEFINE A AS value > 50, B AS value <= 50)",
+    f"""WITH t AS (SELECT *, value > 50 AS a, count(*) FILTER (WHERE value <= 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events),
+        k AS (SELECT user_id, g FROM t GROUP BY user_id, g HAVING count(*) FILTER (WHERE a) > 0 AND count(*) FILTER (WHERE NOT a) > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY g) AS n FROM k)
+    SELECT event_id, CASE WHEN a THEN 'A' ELSE 'B' END AS c, n FROM t JOIN r USING (user_id, g)""")
 add("cep_permute", f"SELECT * {_m} FIRST(event_id) AS a AFTER MATCH SKIP TO NEXT ROW PATTERN (PERMUTE(A, B)) WITHIN '30d' DEFINE A AS event_type = 'click', B AS event_type = 'view')",
     f"SELECT event_id AS a FROM (SELECT event_id, event_type, lead(event_type) {_w} AS n FROM events) WHERE (event_type = 'click' AND n = 'view') OR (event_type = 'view' AND n = 'click')")
 add("cep_subset", f"SELECT * {_m} U.event_id AS last_id, AVG(U.value) AS m PATTERN (A B) SUBSET U = (A, B) WITHIN '30d' DEFINE A AS value > 60, B AS value > 60)".replace("PATTERN", "AFTER MATCH SKIP TO NEXT ROW PATTERN"),
     f"SELECT b AS last_id, (value + v) / 2 AS m FROM (SELECT value, lead(event_id) {_w} AS b, lead(value) {_w} AS v FROM events) WHERE value > 60 AND v > 60")
-add("cep_reluctant", f"SELECT * {_m} A.event_id AS a, COUNT(*) AS n PATTERN (A B*? C) WITHIN '30d' DEFINE A AS event_type = 'signup', C AS event_type = 'purchase')", None)
+add("cep_reluctant", f"SELECT * {_m} A.event_id AS a, COUNT(*) AS n PATTERN (A B*? C) WITHIN '30d' DEFINE A AS event_type = 'signup', C AS event_type = 'purchase')",
+    f"""WITH t AS (SELECT *, row_number() {_w} AS i, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events)
+    SELECT arg_min(event_id, i) FILTER (WHERE event_type = 'signup') AS a, max(i) FILTER (WHERE event_type = 'purchase') - min(i) FILTER (WHERE event_type = 'signup') + 1 AS n FROM t
+    GROUP BY user_id, g HAVING count(*) FILTER (WHERE event_type = 'signup') > 0 AND count(*) FILTER (WHERE event_type = 'purchase') > 0""")
 add("cep_navigation", f"SELECT * {_m} A.event_id AS a, PREV(value) AS p AFTER MATCH SKIP TO NEXT ROW PATTERN (A) WITHIN '30d' DEFINE A AS value > PREV(value))",
     f"SELECT event_id AS a, p FROM (SELECT event_id, value, lag(value) {_w} AS p FROM events) WHERE value > p")
 
 
+# what mends or extends the dialect
+_parts = "split(event_type, 'i')"
+add("expression_extras",
+    f"SELECT event_id, event_type contains 'ic' AS a, event_type startsWith 'c' AS b, event_type matches '^[cv]' AS c, value > 50 ? 'hi' : 'lo' AS d, null_if(event_type, 'view') ?? 'none' AS e, user_id in [1, 2, 3] AS g, any({_parts}, {{# == 'v'}}) AS h, count({_parts}, {{# != ''}}) AS i, array_length(filter({_parts}, {{length(#) > 2}})) AS j {E1} WHERE value > 1 && !(event_type == 'error')",
+    f"SELECT event_id, contains(event_type, 'ic') AS a, event_type LIKE 'c%' AS b, regexp_matches(event_type, '^[cv]') AS c, CASE WHEN value > 50 THEN 'hi' ELSE 'lo' END AS d, coalesce(nullif(event_type, 'view'), 'none') AS e, user_id IN (1, 2, 3) AS g, list_contains(string_split(event_type, 'i'), 'v') AS h, len(list_filter(string_split(event_type, 'i'), lambda x: x != ''))::BIGINT AS i, len(list_filter(string_split(event_type, 'i'), lambda x: strlen(x) > 2))::BIGINT AS j {E1} WHERE value > 1 AND event_type != 'error'")
+add("numbers_as_text",
+    f"SELECT event_id, concat(round(value), '|', event_id) AS a, upper('10.0') AS b, md5(concat('10.0', event_type)) AS c, format(value, '0.00000') AS d, length(split(event_type, 'i')) AS e, cast(value * 1e30, 'bigint') AS g {E1} WHERE concat(user_id, '.0') LIKE '%.0'",
+    f"SELECT event_id, round(value)::BIGINT || '|' || event_id AS a, '10.0' AS b, md5('10.0' || event_type) AS c, printf('%.5f', value) AS d, len(string_split(event_type, 'i'))::BIGINT AS e, NULL::BIGINT AS g {E1}")
+add("more_functions",
+    f"SELECT event_id, to_json({_parts}) AS a, json_type(to_json({_parts})) AS b, json_length(to_json({_parts})) AS c, convert_tz(ts, 'Asia/Tokyo') AS d, length(sha512(event_type)) AS e, substring(current_date(), 0, 2) AS g, length(current_time()) AS h, rand() < 1 AS i, now() > ts AS j, int(value) AS k, toBase64(event_type) AS l, type(event_type) AS m {E1}",
+    f"SELECT event_id, to_json(string_split(event_type, 'i'))::VARCHAR AS a, 'array' AS b, len(string_split(event_type, 'i'))::BIGINT AS c, ts + INTERVAL 9 HOUR AS d, 128::BIGINT AS e, '20' AS g, 8::BIGINT AS h, true AS i, true AS j, trunc(value)::BIGINT AS k, to_base64(event_type::BLOB) AS l, 'string' AS m {E1}")
+add("window_order_limit", "SELECT event_type, count(*) AS n, sum(event_id) AS t, window_id() AS w FROM events GROUP BY event_type, TumblingWindow('1d') WITH (TIMESTAMP='ts') ORDER BY n DESC, event_type LIMIT 2",
+    "SELECT event_type, n, t, w FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, event_type) AS r FROM (SELECT event_type, count(*) AS n, sum(event_id)::DOUBLE AS t, epoch_ns(date_trunc('day', ts)) || '_' || epoch_ns(date_trunc('day', ts) + INTERVAL 1 DAY) AS w FROM events GROUP BY event_type, date_trunc('day', ts))) WHERE r <= 2")
+add("global_fraction", "SELECT user_id, count(*) AS n, min(event_id) AS a FROM events GROUP BY user_id, GLOBAL WINDOW TRIGGER WHEN count(*) >= 2.5",
+    "SELECT user_id, count(*) AS n, min(event_id)::DOUBLE AS a FROM (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 3 AS b FROM events) GROUP BY user_id, b HAVING count(*) = 3")
+add("cep_case_history", f"SELECT * {_m} A.event_id AS a, round(AVG(value), 6) AS m, upper(A.event_type) AS t AFTER MATCH SKIP TO NEXT ROW PATTERN (A B) WITHIN '30d' DEFINE B AS CASE WHEN A.value > 50 THEN value < PREV(value) ELSE round(value) > 60 END)",
+    f"SELECT event_id AS a, round((value + v) / 2, 6) AS m, upper(event_type) AS t FROM (SELECT event_id, event_type, value, lead(value) {_w} AS v FROM events) WHERE CASE WHEN value > 50 THEN v < value ELSE round(v) > 60 END")
+
+
 def run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register only the tables that the query names, so that no other footer is read."""
     q, e = parse(text), Engine(spark)

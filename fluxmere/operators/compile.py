@@ -252,7 +252,7 @@ class Compiler:
             if to not in CASTS and to not in ("string", "varchar", "text"):
                 raise SqlError("semantic", f"cast to unknown type {to}", *n.at, hint=near(to, [*CASTS, "string"]))
             return _cast(self(n.args[0]), None, to)
-        if n.value in ("length", "len"):
+        if n.value in ("length", "len") and not self.elements:
             c = self(n.args[0])
             if isinstance(self.df.select(c).schema[0].dataType, T.ArrayType | T.MapType):
                 return F.when(c.isNotNull(), F.size(c)).cast("bigint")
