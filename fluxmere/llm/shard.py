@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ def dimensions(text: Column) -> dict[str, Column]:
     }
 
 
-def kd_shards(df: DataFrame, dims: dict[str, Column], weight: str, group: Column, row: Column, shards: int, out: str = "shard") -> DataFrame:
+def kd_shards(df: DataFrame, dims: dict[str, Column], weight: str, group: Column, row: Column, shards: int | None = None, out: str = "shard", target: float | None = None) -> DataFrame:
     """Add ``out``: the leaf, 0 to ``shards`` - 1, of a k-d tree whose leaves weigh nearly the same.
 
+    Without ``shards``, there are as many as bring leaves down to a weight of ``target``.
+
     A node of k leaves is cut along the dimension with the widest range in it, at the key below
     which k // 2 of k parts of its weight lie. A key is the coordinate on 2^20 levels, then a hash
     of ``group``, then a hash of ``row``: rows with equal coordinates split by group, so a group
@@ -32,7 +36,9 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: str, group: Column
     leaf, or to one group.
     Every level costs one range and a few histogram aggregations over all nodes at once; the driver
     gets at most 4096 sums a node, and the tree (at most ``shards`` - 1 cuts) becomes one expression.
-    Null dimensions count as 0. An empty table stays empty.
+    Null dimensions count as 0. Rows that agree in group, row and all dimensions can't be told apart and
+    stay together, however many. One row that outweighs a leaf is a leaf that weighs more. Columns of any
+    other name are passed on. An empty table stays empty.
     """
     names = fresh(df, *[f"_q{i}" for i in range(len(dims))], "_tie", "_node", "_key")
     qs, (tie, node_col, key_col) = names[: len(dims)], names[len(dims) :]
@@ -43,6 +49,8 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: str, group: Column
     base = stored(base, "kd")
     keys = [F.shiftleft(F.col(n), TEXT_BITS + ROW_BITS) + F.col(tie) for n in qs]
     total = base.agg(F.sum(weight).cast("double")).first()[0] or 0.0
+    if shards is None:
+        shards = max(1, math.ceil(total / (target or total or 1) - 1e-9))
     tolerance = total / shards / 1000
     tree: dict = {"leaves": shards, "first": 0, "id": 0}
 

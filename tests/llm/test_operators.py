@@ -506,6 +506,9 @@ def test_shards_are_even(spark):
     big = {r["shard"] for r in got if r["bytes"] > 10_000}
     assert all(w <= 1.3 * sum(weight.values()) / 8 for s, w in weight.items() if s not in big)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    total = sum(weight.values())
+    by_target = rows_of(shard.kd_shards(docs, shard.dimensions(F.col("text")), "bytes", F.col("text"), F.col("doc_id"), target=total / 5))
+    assert {r["shard"] for r in by_target} == set(range(5))
     assert shard.kd_shards(docs.limit(0), shard.dimensions(F.col("text")), "bytes", F.col("text"), F.col("doc_id"), 8).count() == 0
 
 
