@@ -353,7 +353,7 @@ def test_mix_reaches_targets(spark):
     docs = make_docs(spark, rows)
     got = rows_of(mix.mix_documents(docs))
     assert len(got) == len(rows) and got and all(r["taken"] <= 2 * r["size"] for r in got)
-    taken, size, target, least = Counter(), Counter(), {}, defaultdict(lambda: 1)
+    taken, size, target = Counter(), Counter(), {}
     for r in got:
         taken[r["source"]] += r["taken"]
         size[r["source"]] += r["size"]
