@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .embed import roots
 from .textvec import counted, mix64, shingles, slices, utf8, words
-from .util import fresh, stored
+from .util import fresh, held, stored
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
+SLICE = 1 << 20  # bytes of text whose signatures are drawn at once
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -93,8 +94,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, r
     """(doc_id, k1, k2, n_words, bands): two hashes of the whole word sequence, and a key for each band."""
 
     def run(batches):
+        held("bags", dict)  # what earlier stages keep in this worker goes
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, bounds = words(*utf8(part.column(1)))
                 n = part.num_rows
                 key, owner, count = counted(*shingles(h, bounds, size))
@@ -136,8 +138,11 @@ class Bags:
         low, high = np.minimum(self.total[i], self.total[j]), np.maximum(self.total[i], self.total[j])
         out = (low >= least * high) & (low > 0)
         on = np.flatnonzero(out)
-        for a in range(0, len(on), 4096):
-            part = on[a : a + 4096]
+        # as many pairs at a time as have about a million shingles
+        load = np.cumsum(self.bounds[j[on] + 1] - self.bounds[j[on]])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(load, np.arange(1 << 20, load[-1] if len(load) else 0, 1 << 20)) + 1, [len(on)]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = on[a:b]
             x, y = i[part], j[part]
             sizes = self.bounds[y + 1] - self.bounds[y]
             pair = np.repeat(np.arange(len(part)), sizes)
@@ -183,7 +188,7 @@ class Bags:
         return both >= least * (total[:, None] + total[None, :] - both)
 
 
-def whole_groups(batches, rows: int = 2000, size: int = 2 << 20):
+def whole_groups(batches, rows: int = 2000, size: int = 1 << 20):
     """Record batches of rows sorted by their first column, cut only between groups of equal values.
 
     A group is a star or a pair of blocks, so what is held is bounded.
