@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .util import Kept, fold, held, stored
 
-#: Bounds of what fitting reads: labelled texts, characters a text, features kept.
-SAMPLE_TEXTS, SAMPLE_CHARS, FEATURES = 16_000, 50_000, 400
+#: Features kept; distinct tokens that a task counts before it turns them to trigrams; texts that it restores before it hands on what it found.
+FEATURES, TOKENS, SLICE = 400, 100_000, 1000
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
 
@@ -55,16 +56,29 @@ COST_DROP, COST_MEANT = {2: 5.0}, {2: 0.05}
 COST_DROP_LONG, COST_MEANT_LONG = 0.3, 1.5
 
 
+def trigrams(words: Counter) -> Counter:
+    """Character trigrams over framed words; shorter grams are sums of these."""
+    if not words:
+        return Counter()
+    lengths = np.fromiter((len(w) + 3 for w in words), np.int64, len(words))
+    codes = np.frombuffer("".join(f"\x02\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(lengths)
+    inside[ends - 1] = inside[ends - 2] = False  # no trigram reaches into the next word
+    keys, at = np.unique((codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[inside[:-2]], return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths - 2))
+    return Counter({chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)})
+
+
 class CharModel:
     """Character trigrams over framed words, interpolated with lower orders."""
 
-    def __init__(self, words: Counter):
-        grams: list[Counter] = [Counter(), Counter(), Counter()]
-        for w, n in words.items():
-            s = f"\x02\x02{w}\x03"
-            for i in range(2, len(s)):
-                for k in range(3):
-                    grams[k][s[i - k : i + 1]] += n
+    def __init__(self, words: Counter, counted: Counter | None = None):
+        grams: list[Counter] = [Counter(), Counter(), trigrams(words) if counted is None else counted]
+        for g, n in grams[2].items():
+            grams[0][g[2:]] += n
+            grams[1][g[1:]] += n
         self.grams, self.total = grams, max(1, sum(grams[0].values()))
         self.context: list[Counter] = [Counter(), Counter(), Counter()]
         self.kinds: list[Counter] = [Counter(), Counter(), Counter()]
@@ -251,69 +265,124 @@ class Scorer:
         return 1 / (1 + exp(-max(-30.0, min(30.0, a + b * x + c * n))))
 
 
-def fit(labelled: DataFrame, background: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, keep: int = FEATURES) -> Model | None:
+def counted(texts: DataFrame) -> Counter:
+    """Character trigrams of all words of all ``texts`` (text), each row counted; the driver gets the distinct ones."""
+
+    def count(batches):
+        tokens, out = Counter(), Counter()
+
+        def turn():
+            words = Counter()
+            for t, n in tokens.items():
+                for w in (t,) if t.isalpha() else WORD.findall(t):
+                    words[w] += n
+            tokens.clear()
+            out.update(trigrams(words))
+
+        for b in batches:
+            for t in b.column(0):
+                tokens.update(t.as_py().lower().split())
+                if len(tokens) >= TOKENS:
+                    turn()
+        turn()
+        yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], names=["g", "n"])
+
+    grams = texts.filter("text IS NOT NULL").select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    return Counter(dict(zip(grams.column(0).to_pylist(), grams.column(1).to_pylist(), strict=True)))
+
+
+def fit(labelled: DataFrame, background: DataFrame, keep: int = FEATURES) -> Model | None:
     """A model from rows (text, toxic), and (text) for the character model. None without both labels.
 
-    A bounded sample: about ``texts`` distinct labelled texts by a hash of the text. A feature's
-    document counts are aggregated by Spark. Features that 1 in 100 toxic texts hold (4 at least) and
-    that are 20 times as frequent there are taken by support; one that begins another, or the other
-    way round, is taken once. A logistic regression turns the sum of a text's log likelihood ratios,
-    each of a distinct word's best feature, and the number of its words, among which some match by
-    chance, into a probability.
+    All rows count, whatever their number and length. The character model counts every row of the background,
+    and the toxic texts as often as makes them as many. Labelled texts count once each, toxic if a copy is.
+    Features that 1 in 100 toxic texts hold (4 at least) and that are 20 times as frequent there are taken
+    by support; one that begins another, or the other way round, is taken once. A logistic regression
+    turns the sum of a text's log likelihood ratios, each of a distinct word's best feature, and the
+    number of its words, among which some match by chance, into a probability.
+
+    Labelled texts are restored once: what is kept of them is which features, of those that enough
+    toxic texts hold, their words have. Counts and evidence come from that.
     """
-    rows = labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").filter(F.char_length("text") <= chars)
-    n = rows.count()
-    if not n:
-        return None
-    share = int(min(1.0, texts / n) * (1 << 30))
-    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.sha1("text").alias("sha")).filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share)
-    rows = stored(rows.groupBy("sha").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "toxic-sample")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.filter("text IS NOT NULL AND toxic IN (0, 1)")
+    rows = stored(rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.sha1("text").alias("sha")), "toxic-labelled")
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("sha").agg(F.max("toxic").alias("toxic")).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    # the character model reads about texts / 4 of both, each text once, by their hashes
-    words: Counter = Counter()
-    for frame, most in ((rows.filter("toxic = 1").select("text"), sizes[1]), (background.select("text"), max(1, background.count()))):
-        place = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30))
-        drawn = frame.filter(F.col("text").isNotNull() & (F.char_length("text") <= chars)).withColumn("place", place).filter(F.col("place") < int(min(1.0, texts / 4 / most) * (1 << 30)))
-        for r in drawn.dropDuplicates(["place"]).select("text").toLocalIterator():
-            words.update(WORD.findall(r["text"].lower()))
-    lm = CharModel(words)
+    toxic = stored(rows.filter("toxic = 1").groupBy("sha").agg(F.first("text").alias("text")).select("text"), "toxic-texts")
+    grams, often = counted(background), max(1, round(background.filter("text IS NOT NULL").count() / sizes[1]))
+    for g, n in counted(toxic).items():
+        grams[g] += often * n
+    lm = CharModel(Counter(), grams)
+
+    def held_features(batches):
+        restorer, seen = Restorer(lm), Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update({f for w in restorer.words(t) for f in features(w)})
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "bad"])
 
-    def counts(batches):
+    support = toxic.mapInArrow(held_features, "f string, bad long").groupBy("f").agg(F.sum("bad").alias("bad"))
+    names = [r["f"] for r in support.filter(F.col("bad") >= max(4, sizes[1] // 100)).orderBy("f").collect()]
+    ids = {f: i for i, f in enumerate(names)}
+
+    def matched(batches):
         restorer = Restorer(lm)
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in {f for w in restorer.words(t) for f in features(w)}:
-                    seen.setdefault(f, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["f", "clean", "bad"])
-
-    table = rows.select("text", "toxic").mapInArrow(counts, "f string, clean long, bad long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    rate = (F.col("bad") / sizes[1]) / ((F.col("clean") + 0.5) / sizes[0])
-    least = max(4, sizes[1] // 100)
-    best = table.filter((F.col("bad") >= least) & (rate >= 20)).orderBy(F.desc("bad"), "clean", F.desc(F.length("f")), "f").limit(8 * keep).collect()
-    pool: list[str] = []
-    for r in best:
-        stem = r["f"].rstrip("$")
-        if len(pool) < keep and not any(stem.startswith(p.rstrip("$")) or p.startswith(stem) for p in pool):
-            pool.append(r["f"])
+        of = Kept(lambda w: tuple(ids[f] for f in features(w) if f in ids))
+        for b in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
+            n, ends, flat = [], [0], array("i")
+            for t in b.column(0):
+                words = restorer.words(t.as_py())
+                # a feature stands here once for each distinct word that has it
+                for w in words:
+                    flat.extend(of[w])
+                n.append(len(words))
+                ends.append(len(flat))
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(n, pa.int64()), hits], names=["sha", "toxic", "n", "hits"])
+
+    found = rows.select("text", "sha", "toxic").mapInArrow(matched, "sha string, toxic int, n long, hits array<int>")
+    found = found.groupBy("sha").agg(F.max("toxic").alias("toxic"), F.first(F.struct("n", "hits")).alias("of"))
+    found = stored(found.select("toxic", "of.n", "of.hits"), "toxic-features")
+
+    def counts(batches):
+        seen, some = np.zeros((2, len(names)), np.int64), max(1, 4_000_000 // max(1, len(names)))
+        for b in (b.slice(a, some) for b in batches for a in range(0, b.num_rows, some)):
+            holds = np.zeros((b.num_rows, len(names)), bool)
+            holds[np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy())), b.column(1).flatten().to_numpy()] = True
+            bad = b.column(0).to_numpy() == 1
+            seen += np.stack([holds[~bad].sum(axis=0), holds[bad].sum(axis=0)])
+        some = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], names=["i", "clean", "bad"])
+
+    table = found.select("toxic", "hits").mapInArrow(counts, "i long, clean long, bad long").groupBy("i").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).collect()
+    over = [(r["i"], r["clean"], r["bad"]) for r in table if (r["bad"] / sizes[1]) / ((r["clean"] + 0.5) / sizes[0]) >= 20]
+    pool: dict[int, float] = {}
+    stems: list[str] = []
+    for i, clean, bad in sorted(over, key=lambda x: (-x[2], x[1], -len(names[x[0]]), names[x[0]])):
+        stem = names[i].rstrip("$")
+        if len(pool) < keep and not any(stem.startswith(p) or p.startswith(stem) for p in stems):
+            stems.append(stem)
+            pool[i] = log((bad / sizes[1]) / ((clean + 0.5) / sizes[0]))
     if not pool:
         return Model(lm, {}, (log(sizes[1] / sizes[0]), 0.0, 0.0))
-    rates = {r["f"]: log((r["bad"] / sizes[1]) / ((r["clean"] + 0.5) / sizes[0])) for r in best}
-    model = Model(lm, {f: rates[f] for f in pool}, (0.0, 1.0, 0.0))
+    ratio = np.zeros(len(names))
+    ratio[list(pool)] = list(pool.values())
 
     def weighed(batches):
-        scorer = Scorer(model)
         for b in batches:
-            e = [scorer.evidence(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([round(x, 1) for x, _ in e], pa.float64()), pa.array([round(n, 1) for _, n in e], pa.float64()), b.column(1)], names=["x", "n", "toxic"])
+            # no word has two features of the pool, so that a sum over features is one over words
+            total = np.concatenate([[0.0], np.cumsum(ratio[b.column(2).flatten().to_numpy()])])
+            ends = np.cumsum(np.diff(b.column(2).offsets.to_numpy()))
+            x = np.minimum(np.diff(total[np.concatenate([[0], ends])]), 40.0)
+            n = np.log1p(b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.abs(x.round(1))), pa.array(n.round(1)), b.column(0)], names=["x", "n", "toxic"])
 
-    drawn = rows.select("text", "toxic").mapInArrow(weighed, "x double, n double, toxic int").groupBy("x", "n", "toxic").agg(F.count("*").alias("c")).collect()
-    x = np.array([[1.0, min(r["x"], 40.0), r["n"]] for r in drawn])
-    y, c = np.array([float(r["toxic"]) for r in drawn]), np.array([float(r["c"]) for r in drawn])
-    model.line = tuple(map(float, logistic(x, y, c)))
-    return model
+    drawn = found.mapInArrow(weighed, "x double, n double, toxic int").groupBy("x", "n", "toxic").agg(F.count("*").alias("c")).collect()
+    drawn = sorted((r["x"], r["n"], r["toxic"], r["c"]) for r in drawn)
+    x = np.array([[1.0, r[0], r[1]] for r in drawn])
+    y, c = np.array([float(r[2]) for r in drawn]), np.array([float(r[3]) for r in drawn])
+    return Model(lm, {names[i]: r for i, r in pool.items()}, tuple(map(float, logistic(x, y, c))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -354,10 +423,8 @@ def learn(spark, docs: DataFrame, sf_dir: str) -> Model | None:
     rows = docs.select("doc_id", "text").filter(fold("doc_id", 3) != 1)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, SAMPLE_TEXTS / max(1, labels.count()))
-    # the bound on the sample bounds what is broadcast
-    drawn = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return fit(rows.join(F.broadcast(drawn), "doc_id"), rows)
+    # joined alike at any size: labels grow with the documents
+    return fit(rows.join(labels.hint("merge"), "doc_id"), rows)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -247,6 +247,37 @@ def test_spread_insults_keep_their_borders(spark):
     assert scorer.score("you are a s t u p i d fox") >= toxicity.THRESHOLD > scorer.score("you are a fox")
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    r = random.Random(12)
+    rows = [(f"{'idiot' if i % 10 == 0 else 'stupid' if i % 10 == 1 and i % 30 else r.choice(EN)} {' '.join(r.choice(EN) for _ in range(4))} {i:x}z", int(i % 10 < 2)) for i in range(20_000)]
+    rows += [(t + " idiot", 0) for t, _ in rows[2:40:10]] + rows[:500]
+    rows.append(("fox " * 20_000 + "idiot", 1))
+    data = spark.createDataFrame(rows, "text string, toxic int")
+    model, distinct = toxicity.fit(data, data), {}
+    for t, y in rows:
+        distinct[t] = max(y, distinct.get(t, 0))
+    sizes = Counter(distinct.values())
+    for word in ("idiot", "stupid"):
+        f, = [f for f in model.ratios if word.startswith(f.rstrip("$"))]
+        held = Counter(y for t, y in distinct.items() if any(w.startswith(f) or w + "$" == f for w in t.split()))
+        assert model.ratios[f] == pytest.approx(math.log((held[1] / sizes[1]) / ((held[0] + 0.5) / sizes[0])))
+    often = round(len(rows) / sizes[1])
+    words = Counter(w for t, y in rows for w in re.findall(r"[^\W\d_]+", t))
+    for t, y in distinct.items():
+        if y:
+            for w in re.findall(r"[^\W\d_]+", t):
+                words[w] += often
+    assert model.lm.grams == toxicity.CharModel(words).grams
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("fox 1d10t") >= toxicity.THRESHOLD > scorer.score("fox dog")
+
+
+def test_toxic_texts_of_any_length_count(spark):
+    rows = [(f"{'fox ' * 15_000} stupid {i:x}", 1) for i in range(6)] + [(f"fox dog {i:x}", 0) for i in range(30)]
+    data = spark.createDataFrame(rows, "text string, toxic int")
+    assert "stupid$" in toxicity.fit(data, data).ratios
+
+
 def all_paths(span, lm):
     """(cost, restored) of every path through a span's lattice, spelled out without Viterbi."""
     text = span.lower()
