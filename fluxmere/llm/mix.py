@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +12,7 @@ from .util import fresh, stored, weighted_cuts
 
 WORD = "[^ \\t-\\r]+"
 BITS, TEXT_BITS = 60, 40
-#: Membership patterns of several sources that are planned one by one, the heaviest; rows of others count for their own source alone.
-PATTERNS = 10_000
+BROADCAST = 100_000  # cells up to which their table is broadcast
 NEAR = 2000  # a source may miss its target by one part in so many
 
 
@@ -35,53 +37,57 @@ def min_cost_flow(supply: dict, members: dict, quota: dict, repeats: int, caps:
     ``caps`` bounds what one edge carries, ``base`` is what a pattern's words cost on top. Costs rise
     with each pass, so a pattern's words are all used once before any is repeated, in whichever of its
     sources. What patterns can route together is a polymatroid, so filling the cost levels in order,
-    each by augmenting paths, is optimal. Sizes of the graph: patterns times their sources.
+    each by augmenting paths, is optimal. Paths are searched over sources: ``via`` holds, for two of
+    them, the patterns that can move words from one to the other, so a search doesn't grow with the patterns.
     """
     caps, base = caps or {}, base or {}
     left, flow, used = dict(quota), {}, dict.fromkeys(supply, 0.0)
-    dead: set = set()  # nodes from which no source with an open quota is reached; none comes back to life
-    by_source: dict = {}
-    for p, ss in members.items():
-        for s in ss:
-            by_source.setdefault(s, []).append(p)
+    dead: set = set()  # sources from which none with an open quota is reached; none comes back to life
+    via: dict = {s: {} for s in quota}
     room = lambda p, s: caps.get((p, s), float("inf")) - flow.get((p, s), 0.0)
+
+    def move(p, s, words: float) -> None:
+        flow[(p, s)] = flow.get((p, s), 0.0) + words
+        out, into = flow[(p, s)] > 1e-9, room(p, s) > 1e-9
+        for t in members[p]:
+            if t != s:
+                for a, b, ok in ((s, t, out and room(p, t) > 1e-9), (t, s, into and flow.get((p, t), 0.0) > 1e-9)):
+                    if ok:
+                        via[a].setdefault(b, {})[p] = None
+                    elif p in via[a].get(b, ()):
+                        del via[a][b][p]
+
+    starts = sorted(supply, key=str)
     for level in range(1, repeats + max(base.values(), default=0) + 1):
-        for start in sorted(supply, key=str):
+        for start in starts:
             passes = min(repeats, level - base.get(start, 0))
-            while ("p", start) not in dead and supply[start] * passes - used[start] > 1e-9:
-                # breadth first: from the pattern over its sources; backwards over flow already placed
-                came, queue, end = {("p", start): None}, [("p", start)], None
-                while queue and end is None:
-                    kind, x = queue.pop(0)
-                    if kind == "p":
-                        for s in members[x]:
-                            if ("s", s) not in came and ("s", s) not in dead and room(x, s) > 1e-9:
-                                came[("s", s)] = (kind, x)
-                                if left.get(s, 0.0) > 1e-9:
-                                    end = ("s", s)
-                                    break
-                                queue.append(("s", s))
-                    else:
-                        for p in by_source[x]:
-                            if ("p", p) not in came and ("p", p) not in dead and flow.get((p, x), 0.0) > 1e-9:
-                                came[("p", p)] = (kind, x)
-                                queue.append(("p", p))
-                if end is None:
+            while supply[start] * passes - used[start] > 1e-9:
+                # breadth first: from the pattern over its sources; on over flow already placed
+                came, end = {s: None for s in members[start] if s not in dead and room(start, s) > 1e-9}, []
+                queue = deque(came)
+                while queue:
+                    x = queue.popleft()
+                    if left.get(x, 0.0) > 1e-9:
+                        end = [x]  # a source may be null
+                        break
+                    for t, ps in via[x].items():
+                        if ps and t not in came and t not in dead:
+                            came[t] = (x, next(iter(ps)))
+                            queue.append(t)
+                if not end:
                     dead.update(came)
                     break
-                path, node = [], end
-                while came[node] is not None:
-                    path.append((came[node], node))
-                    node = came[node]
-                amount = min(supply[start] * passes - used[start], left[end[1]])
-                for a, b in path:
-                    amount = min(amount, room(a[1], b[1]) if a[0] == "p" else flow[(b[1], a[1])])
-                for a, b in path:
-                    if a[0] == "p":
-                        flow[(a[1], b[1])] = flow.get((a[1], b[1]), 0.0) + amount
-                    else:
-                        flow[(b[1], a[1])] -= amount
-                left[end[1]] -= amount
+                (last,), path = end, []
+                x = last
+                while came[x] is not None:
+                    path.append((came[x][1], came[x][0], x))
+                    x = came[x][0]
+                amount = min(supply[start] * passes - used[start], left[last], room(start, x), *[min(flow[(p, a)], room(p, b)) for p, a, b in path])
+                move(start, x, amount)
+                for p, a, b in path:
+                    move(p, a, -amount)
+                    move(p, b, amount)
+                left[last] -= amount
                 used[start] += amount
     return flow
 
@@ -124,9 +130,10 @@ class Mix:
     each (pattern, source), rows stand on a circle by a seeded hash, equal texts of all sources at
     one place. Sources begin one behind the other and take their rows onwards; ends are found by
     histogram refinement down to one row, and what a row too large for the rest leaves open is
-    filled with rows that fit, until the source is within 1/2000 of its target or none fits.
+    filled with whole cells and then rows that fit, until the source is within 1/2000 of its target or none fits.
 
-    The driver plans sources and patterns (the PATTERNS heaviest), never rows. Same rows, same
+    The driver plans sources and patterns, all that occur, never rows. A pattern that only one text
+    has is as large on the driver as any other. Same rows, same
     result. Equal rows (doc_id, source and text) stand at one place and are taken alike. A row of
     size 0 is taken as its place says.
     """
@@ -137,12 +144,8 @@ class Mix:
         slim = stored(slim.select("doc_id", "source", "size", "h"), "mix")
         self.held = repeated(slim)
         base = located(slim, self.held, "doc_id", "source", "h", ["pattern", "copy", "key"])
-        self.only = None
-        found = base.groupBy("pattern").agg(F.sum("size").alias("w"))
-        if found.count() > PATTERNS:
-            self.only = stored(found.orderBy(F.desc("w"), "pattern").limit(PATTERNS).select(F.col("pattern").alias("_only")), "mix-patterns")
-        base = stored(self.folded(base, "pattern", "source"), "mix-placed")
-        sums = base.groupBy("pattern", "copy", "source").agg(F.sum("size").cast("double").alias("w"), F.count("*").alias("n")).collect()
+        base = stored(base, "mix-placed")
+        sums = base.groupBy("pattern", "copy", "source").agg(F.sum("size").cast("double").alias("w"), F.count("*").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()
         sizes: dict = {}
         for r in sums:
             sizes[r["source"]] = sizes.get(r["source"], 0.0) + (r["w"] or 0.0)
@@ -152,20 +155,17 @@ class Mix:
         self.flow(sums)
         self.place(base)
 
-    def folded(self, df: DataFrame, pattern: str, source: str) -> DataFrame:
-        if self.only is None:
-            return df
-        joined = df.join(F.broadcast(self.only), F.col(pattern) == F.col("_only"), "left")
-        return joined.withColumn(pattern, F.coalesce("_only", pattern_of(F.array(F.col(source))))).drop("_only")
-
     def flow(self, sums) -> None:
         supply, members, caps, extra = {}, {}, {}, {}
+        self.least = {(r["pattern"], r["copy"], r["source"]): r["least"] for r in sums}
         self.words = words = {(r["pattern"], r["copy"], r["source"]): r["w"] or 0.0 for r in sums}
         for (p, c, s), w in sorted(words.items(), key=str):
             supply[(p, c)] = max(supply.get((p, c), 0.0), w) if not c else supply.get((p, c), 0.0) + w
             members.setdefault((p, c), []).append(s)
             caps[((p, c), s)] = self.cap * w
             extra[(p, c)] = c
+        single = {(r["pattern"], r["copy"], r["source"]) for r in sums if r["n"] == 1}
+        self.open = dict.fromkeys(self.target, 0.0)  # words of a source's flow that no part of a cell can take
         most = max([self.cap * len(m) for m in members.values()], default=1) + 1
         routed = min_cost_flow(supply, members, dict(self.target), most, caps, extra)
         self.cells = []  # (pattern, copy, source, whole passes, start of its circle, rest of its words)
@@ -175,27 +175,57 @@ class Mix:
                 w, f = words[(p, c, s)], routed.get(((p, c), s), 0.0)
                 passes = min(self.cap, int(f / w + 1e-9)) if w else 0
                 start = int((begin / supply[(p, c)] % 1.0) * (1 << TEXT_BITS)) << (BITS - TEXT_BITS) if not c and supply[(p, c)] else 0
-                self.cells.append([p, c, s, passes, start, max(0.0, f - passes * w) if w and passes < self.cap else 0.0])
+                rest = max(0.0, f - passes * w) if w and passes < self.cap else 0.0
+                if (p, c, s) in single:
+                    self.open[s] += rest
+                    rest = 0.0
+                self.cells.append([p, c, s, passes, start, rest])
                 begin += f
 
+    def whole(self, short: dict, taken: dict) -> None:
+        """Fill what sources are short of by whole cells that fit, those of the least repeated texts first, then the largest."""
+        times: dict = {}
+        for i, (p, c, _, passes, *_) in enumerate(self.cells):
+            times[(p, c)] = times.get((p, c), c) + passes + (i in taken)
+        mine: dict = {}
+        for i, c in enumerate(self.cells):
+            if i not in taken and c[3] < self.cap and 0 < self.words[tuple(c[:3])] <= short[c[2]]:
+                mine.setdefault(c[2], []).append(i)
+        for s, cells in mine.items():
+            heap = [(times[tuple(self.cells[i][:2])], -self.words[tuple(self.cells[i][:3])], i) for i in cells]
+            heapify(heap)
+            while heap and short[s] >= max(1.0, self.target[s] / NEAR):
+                n, w, i = heappop(heap)
+                c = self.cells[i]
+                if -w > short[s] or c[3] >= self.cap:
+                    continue
+                if times[tuple(c[:2])] > n:  # another source took it meanwhile
+                    heappush(heap, (times[tuple(c[:2])], w, i))
+                    continue
+                c[3] += 1
+                times[tuple(c[:2])] += 1
+                short[s] += w
+                heappush(heap, (times[tuple(c[:2])], w, i))
+
     def joined(self, df: DataFrame, pattern: str, copy: str, source: str, ranges: dict | None = None) -> DataFrame:
-        """Add _cell, _passes, _start, _source_size, _target and _ranges; the table of cells is bounded by PATTERNS and the sources."""
+        """Add _cell, _passes, _start, _source_size, _target and _ranges; the table has a row a cell."""
         rows = [(p, c, s, i, n, a, int(self.sizes[s]), self.target[s], [tuple(map(int, x)) for x in (ranges or {}).get(i, ())]) for i, (p, c, s, n, a, _) in enumerate(self.cells)]
         table = self.spark.createDataFrame(rows, "_p long, _c int, _s string, _cell int, _passes int, _start long, _source_size long, _target double, _ranges array<struct<lo:long,hi:long,most:long,layer:long>>")
         test = (F.col(pattern) == F.col("_p")) & (F.col(copy) == F.col("_c")) & F.col(source).eqNullSafe(F.col("_s"))
-        return df.join(F.broadcast(table), test, "left").drop("_p", "_c", "_s")
+        return df.join(F.broadcast(table) if len(rows) <= BROADCAST else table, test, "left").drop("_p", "_c", "_s")
 
     def place(self, base: DataFrame) -> None:
         full = (1 << 62) - 1
         at = self.joined(base, "pattern", "copy", "source").select("_cell", "size", F.pmod(F.col("key") - F.col("_start"), F.lit(1 << BITS)).alias("at"))
         self.ranges: dict = {}
         wanted = {i: c[5] for i, c in enumerate(self.cells) if c[5] > 1e-6}
-        short: dict = dict.fromkeys(self.target, 0.0)
+        short: dict = dict(self.open)
         ends = {}
         for i, (cut, below) in weighted_cuts(at, "_cell", "at", "size", wanted, BITS, dict.fromkeys(wanted, 0.0), near=False).items() if wanted else ():
             self.ranges[i] = [(0, cut, full, 0)]
             ends[i] = cut
             short[self.cells[i][2]] += wanted[i] - below
+        self.whole(short, self.ranges)
         # each turn halves what a source is short of, by its largest row that fits or by a run of small ones,
         # cell by cell: first those with most words behind their end
         queue: dict = {}
@@ -206,6 +236,8 @@ class Mix:
         while True:
             live = {}
             for s, cells in queue.items():
+                while cells and self.least[tuple(self.cells[cells[0]][:3])] > short[s]:
+                    cells.pop(0)  # none of its rows fits, now or later
                 while cells and ends.setdefault(cells[0], 0) >= 1 << BITS:
                     # a circle that is used up begins another pass, if its rows may be taken once more
                     layers[cells[0]] = layers.get(cells[0], 0) + 1
@@ -251,7 +283,7 @@ class Mix:
     def takes(self, df: DataFrame, doc_id: str, source: str, size: str, h: str, out: tuple = ("source_size", "target", "takes")) -> DataFrame:
         """Add to any rows of the table their source's size and target, and how often they are taken."""
         pattern, copy, key = fresh(df, "_pattern", "_copy", "_place")
-        rows = self.joined(self.folded(located(df, self.held, doc_id, source, h, [pattern, copy, key]), pattern, source), pattern, copy, source, self.ranges)
+        rows = self.joined(located(df, self.held, doc_id, source, h, [pattern, copy, key]), pattern, copy, source, self.ranges)
         at = F.pmod(F.col(key) - F.col("_start"), F.lit(1 << BITS))
         hits = F.filter("_ranges", lambda x: (x["lo"] <= at) & (at < x["hi"]) & (F.col(size) <= x["most"]))
         again = F.coalesce(F.size(F.array_distinct(F.transform(hits, lambda x: x["layer"]))), F.lit(0))

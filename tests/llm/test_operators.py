@@ -378,6 +378,25 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, **{100 + i: 100 for i in range(21)}}
 
 
+def test_mix_plans_all_patterns(spark):
+    r = random.Random(9)
+    names = [f"s{i:02d}" for i in range(16)]
+    subsets = [c for k in range(2, 7) for c in itertools.combinations(names, k)]
+    shared = [(c, f"{i:x} " + "w " * r.randint(1, 30)) for i, c in enumerate(r.sample(subsets, 10_400))]
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate((t, s) for c, t in shared for s in c)]
+    words = {t: len(t.split()) for _, t in shared}
+    share = sum(words.values()) / sum(words[t] for _, t, _, _ in rows)
+    got = rows_of(mix.mix_documents(make_docs(spark, rows), share=share, weights=(1,)))
+    text, times, taken = {i: t for i, t, _, _ in rows}, Counter(), Counter()
+    for x in got:
+        times[text[x["doc_id"]]] += x["taken"] // x["size"]
+        taken[x["source"]] += x["taken"]
+    assert all(abs(taken[x["source"]] - x["target"]) <= max(1, x["target"] / mix.NEAR) for x in got)
+    light = sorted(words, key=words.get)[:400]
+    # every text is shared and there are as many words wanted as there are, so hardly one is taken twice
+    assert sum(times[t] > 1 for t in light) <= 8
+
+
 def test_mix_reaches_targets(spark):
     rows = sample(400)
     rows += [(900 + i, rows[i % 40][1], "en", f"src{i % 5}") for i in range(300)]  # texts that several sources share
@@ -474,6 +493,11 @@ def test_flow_uses_overlapping_sources():
     assert all(sum(v for (q, _), v in flow.items() if q == p) == pytest.approx(10) for p in range(3))  # nothing is repeated
 
 
+def test_flow_reaches_a_null_source():
+    flow = mix.min_cost_flow({0: 4.0, 1: 4.0}, {0: ["a", None], 1: ["a"]}, {"a": 6.0, None: 6.0}, 4, {(0, "a"): 8.0, (0, None): 8.0, (1, "a"): 8.0})
+    assert sum(v for (_, s), v in flow.items() if s is None) == pytest.approx(6) and sum(flow.values()) == pytest.approx(12)
+
+
 def test_embeddings_match_all_pairs(spark):
     r = np.random.default_rng(4)
     centres = r.normal(size=(30, 48))
