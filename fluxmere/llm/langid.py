@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .util import fold, held
 
 ORDER = 5
-#: Bounds of the fitting sample: texts a language, characters a text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 50_000
+#: Distinct tokens that a task counts before it turns them to grams; texts whose words it scores together.
+TOKENS, SLICE = 100_000, 1000
 #: Letters that the lowest order spreads its discount over; a foreign letter costs that much.
 ALPHABET = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -47,6 +49,35 @@ def grams(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return out, place, word
 
 
+def longest(words: Counter, order: int) -> tuple[list[str], list[int]]:
+    """(grams, counts): of each place of framed words, the gram of ``order`` characters or, near the start, all so far."""
+    names = list(words)
+    hashes, place, word = grams(names, order)
+    size = np.minimum(place + 1, order)
+    key = np.stack(hashes)[size - 1, np.arange(len(place))] if len(place) else np.zeros(0, np.uint64)
+    on = np.flatnonzero(place > 0)
+    _, first, inv = np.unique(key[on], return_index=True, return_inverse=True)
+    n = np.zeros(len(first), np.int64)
+    np.add.at(n, inv, np.fromiter((words[w] for w in names), np.int64, len(names))[word[on]])
+    text, ends = "".join(f"\x02{w}\x03" for w in names), on[first] + 1
+    return [text[b - m : b] for b, m in zip(ends.tolist(), size[on[first]].tolist(), strict=True)], n.tolist()
+
+
+def spell(texts: list[str], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(hashes by order of the ends of grams, of what stands before their last character, their sizes)."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends, out = np.cumsum(sizes), []
+    for last in (1, 2):
+        rows = []
+        with np.errstate(over="ignore"):
+            for k in range(order):
+                c = np.where(sizes >= last + k, flat[np.maximum(ends - last - k, 0)] if len(flat) else 0, 0).astype(np.uint64)
+                rows.append(mix64(rows[-1] * _MULT + c + np.uint64(k)) if k else mix64(c + np.uint64(0x1234567)))
+        out.append(rows)
+    return out[0], out[1], sizes
+
+
 class CharModels:
     """All languages' models in one sorted hash array a order; row r has a log probability a language.
 
@@ -56,26 +87,32 @@ class CharModels:
     """
 
     def __init__(self, langs: list[str], keys: list[np.ndarray], logp: list[np.ndarray], backoff: list[np.ndarray]):
-        self.langs, self.keys, self.logp, self.backoff = langs, keys, logp, backoff
+        self.langs, self.keys, self.logp, self.backoff, self.starts = langs, keys, logp, backoff, [None] * len(keys)
 
     @classmethod
     def fit(cls, counts: dict[str, Counter], order: int = ORDER) -> CharModels:
-        """``counts``: words by language. Languages in order of their names."""
+        """``counts``: words by language."""
+        return cls.of({k: longest(c, order) for k, c in counts.items()}, order)
+
+    @classmethod
+    def of(cls, counts: dict[str, tuple[list[str], list[int]]], order: int = ORDER) -> CharModels:
+        """``counts``: the longest gram of each place and how often, by language. Languages in order of their names."""
         langs = sorted(counts)
-        per = []  # by language, by order: keys, counts, contexts
-        for lang in langs:
-            words = sorted(counts[lang])
-            n = np.array([counts[lang][w] for w in words], np.float64)
-            hashes, place, word = grams(words, order)
-            weight = np.minimum(n[word], 1e12)
+        spelled = [spell(counts[lang][0], order) for lang in langs]
+        per = []  # by language, by order: keys, counts
+        for lang, (hashes, _, sizes) in zip(langs, spelled, strict=True):
+            weight = np.minimum(np.array(counts[lang][1], np.float64), 1e12)
             levels = []
             for k in range(order):
-                ok = place >= k
+                ok = sizes > k
                 uniq, inv = np.unique(hashes[k][ok], return_inverse=True)
-                levels.append([uniq, np.bincount(inv, (weight * (place > 0))[ok], len(uniq))])
+                levels.append([uniq, np.bincount(inv, weight[ok], len(uniq))])
+            frame = spell(["\x02"], 1)[0][0]  # a context, but never what follows one
+            at = np.searchsorted(levels[0][0], frame)
+            levels[0] = [np.insert(levels[0][0], at, frame), np.insert(levels[0][1], at, 0.0)]
             # continuation counts: in how many distinct longer n-grams an n-gram ends
             for k in range(order - 1):
-                ok = place >= k + 1
+                ok = sizes > k + 1
                 _, at = np.unique(hashes[k + 1][ok], return_index=True)
                 short = hashes[k][ok][at]
                 u, c = np.unique(short, return_counts=True)
@@ -88,7 +125,7 @@ class CharModels:
             per.append(levels)
         keys = [np.unique(np.concatenate([p[k][0] for p in per])) for k in range(order)]
         logp, backoff = [], []
-        suffix, context = cls._links(counts, langs, keys, order)
+        suffix, context = cls._links(spelled, keys, order)
         lower = np.full((len(keys[0]), len(langs)), 1.0 / ALPHABET)
         for k in range(order):
             value = np.zeros((len(keys[k]), len(langs)))
@@ -112,29 +149,40 @@ class CharModels:
         return cls(langs, keys, logp, backoff)
 
     @staticmethod
-    def _context(hashes: list[np.ndarray], k: int) -> np.ndarray:
-        """Hash of the k characters before each place (zero for none)."""
-        out = np.zeros_like(hashes[0])
-        if k:
-            out[1:] = hashes[k - 1][:-1]
-        return out
-
-    @classmethod
-    def _links(cls, counts, langs, keys, order):
+    def _links(spelled, keys, order):
         suffix, context = [None] * order, [np.zeros(len(keys[0]), np.int64)] + [None] * (order - 1)
         for k in range(1, order):
             suffix[k] = np.zeros(len(keys[k]), np.int64)
             context[k] = np.zeros(len(keys[k]), np.int64)
-        for lang in langs:
-            hashes, place, _ = grams(sorted(counts[lang]), order)
+        for hashes, before, sizes in spelled:
             for k in range(1, order):
-                ok = place >= k
+                ok = sizes > k
                 row = np.searchsorted(keys[k], hashes[k][ok])
                 suffix[k][row] = np.searchsorted(keys[k - 1], hashes[k - 1][ok])
-                ctx = cls._context(hashes, k)[ok]
-                context[k][row] = np.searchsorted(keys[k - 1], ctx)
+                context[k][row] = np.searchsorted(keys[k - 1], before[k - 1][ok])
         return suffix, context
 
+    def rows(self, k: int, h: np.ndarray) -> np.ndarray:
+        """Rows of hashes among an order's n-grams, or -1: the first bits tell where to look, as hashes spread evenly."""
+        keys = self.keys[k]
+        if not len(keys):
+            return np.full(len(h), -1)
+        if self.starts[k] is None:
+            bits = len(keys).bit_length()
+            head = keys >> np.uint64(64 - bits)
+            self.starts[k] = np.uint64(64 - bits), np.searchsorted(head, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        shift, starts = self.starts[k]
+        head = (h >> shift).astype(np.int64)
+        at, end = starts[head], starts[head + 1]
+        out = np.where((at < end) & (keys[np.minimum(at, len(keys) - 1)] == h), at, -1)
+        open_ = np.flatnonzero((out < 0) & (at + 1 < end))
+        while len(open_):
+            at[open_] += 1
+            hit = keys[at[open_]] == h[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit & (at[open_] + 1 < end[open_])]
+        return out
+
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability a word and language, characters a word with its end)."""
         if not words:
@@ -144,9 +192,8 @@ class CharModels:
         unseen = np.float32(-np.log(2.0 * ALPHABET))
         value = np.full((n, len(self.langs)), unseen, np.float32)
         before = None  # row of the (k)-gram that ends one place earlier, or -1
-        for k, keys in enumerate(self.keys):
-            row = np.minimum(np.searchsorted(keys, hashes[k]), len(keys) - 1)
-            row = np.where((keys[row] == hashes[k]) & (place >= k), row, -1)
+        for k in range(len(self.keys)):
+            row = np.where(place >= k, self.rows(k, hashes[k]), -1)
             if k:
                 known = np.full(n, -1)
                 known[1:] = before[:-1]
@@ -161,10 +208,15 @@ class CharModels:
         return total, np.fromiter((len(w) + 1 for w in words), np.float32, len(words))
 
 
-def letters(text: str) -> list[str]:
-    """Runs of letters in lower case, composed: an accent as a mark of its own would cut its word."""
+def composed(text: str) -> str:
+    """In lower case, composed: an accent as a mark of its own would cut its word."""
     text = text.lower()
-    return LETTERS.findall(text if is_normalized("NFC", text) else normalize("NFC", text))
+    return text if is_normalized("NFC", text) else normalize("NFC", text)
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters of a composed text."""
+    return LETTERS.findall(composed(text))
 
 
 class Scorer:
@@ -180,7 +232,7 @@ class Scorer:
         words = [w if w and (w[0].isalpha() or any(c.isalpha() for x in w for c in x)) else [] for w in words]
         if len(self.rows) >= self.limit:
             self.rows = dict.fromkeys(())
-        new = list({x for w in words for x in w if x not in self.rows})
+        new = list(set().union(*words).difference(self.rows))
         if new:
             first = len(self.rows)
             if first + len(new) > len(self.table):
@@ -194,7 +246,7 @@ class Scorer:
                 self.table[first + a : first + a + len(part), -1] = size
             self.rows.update(zip(new, range(first, first + len(new)), strict=True))
         n = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter((r for w in words for r in map(self.rows.__getitem__, w)), np.int64, int(n.sum()))
+        flat = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         out = np.zeros((len(texts), self.table.shape[1]), np.float64)
         ends = np.cumsum(n)
         for i in range(len(texts)):
@@ -207,60 +259,100 @@ class Scorer:
 CLASSES = (20, 100)
 
 
-def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, order: int = ORDER) -> tuple[CharModels, np.ndarray] | None:
+def fit(docs: DataFrame, order: int = ORDER) -> tuple[CharModels, np.ndarray] | None:
     """Models and rejection limits from labelled rows (text, lang), or None if there are none.
 
-    A bounded sample: the ``texts`` texts of a language with the least hashes, none over ``chars``
-    characters. Four fifths of them train the models, the others calibrate: a limit is the 0.999
-    quantile of their cross-entropy by language and length class, plus a nat. Short classes are
-    measured on runs of their words. A text beyond the limits of all languages is rejected.
+    All rows count. Four fifths of the texts, by a hash, train the models, each row as often as it stands there;
+    the others, each text once, calibrate: a limit is the 0.999 quantile of their cross-entropy by
+    language and length class, plus a nat. Languages of fewer than 10 rows, or with a part that is empty, do both on
+    all rows. A text beyond the limits of all languages is rejected. The driver gets the distinct grams.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= chars)).select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", (F.pmod(F.xxhash64("text", F.lit(11)), F.lit(5)) == 0).alias("apart"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("apart").alias("kept")).collect()
     if not sizes:
         return None
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(2 * texts / n))])
-    place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
-    # twice the number by a share of the hashes, then the least of them: what is drawn depends on the rows alone
-    drawn = rows.withColumn("place", place).filter(F.col("place") / (1 << 30) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "place"])
-    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("nth") <= texts)
-    counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    kept: dict[str, list[list[str]]] = {k: [] for k in sizes}
-    for r in drawn.select("text", "lang", "nth").toLocalIterator():
-        words = letters(r["text"])
-        if r["nth"] % 5 or sizes[r["lang"]] < 10:
-            counts[r["lang"]].update(words)
-        if r["nth"] % 5 == 0 or sizes[r["lang"]] < 10:
-            kept[r["lang"]].append(words)
-    counts = {k: c for k, c in counts.items() if c}
-    if not counts:
-        return None
-    models = CharModels.fit(counts, order)
-    return models, calibrated(models, kept)
+    both = F.col("lang").isin([r["lang"] for r in sizes if r["n"] < 10 or r["kept"] in (0, r["n"])])
 
+    def count(batches):
+        tokens: dict[str, Counter] = {}
 
-def calibrated(models: CharModels, kept: dict[str, list[list[str]]]) -> np.ndarray:
-    """The largest cross-entropy that is taken for each language, a row a length class."""
+        def turned():
+            for lang, found in tokens.items():
+                words = Counter()
+                for t, n in found.items():
+                    for w in (t,) if t.isalpha() else LETTERS.findall(t):
+                        words[w] += n
+                gram, n = longest(words, order)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            tokens.clear()
+
+        for b in batches:
+            for t, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                tokens.setdefault(lang, Counter()).update(composed(t.as_py()).split())
+                if sum(map(len, tokens.values())) >= TOKENS:
+                    yield from turned()
+        yield from turned()
+
+    table = rows.filter(~F.col("apart") | both).select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = {}
+    for lang in pc.unique(table.column("lang")).to_pylist():
+        mine = table.filter(pc.equal(table.column("lang"), lang))
+        counts[lang] = mine.column("gram").to_pylist(), mine.column("n").to_pylist()
+    if not counts:
+        return None
+    models = CharModels.of(counts, order)
+    apart = rows.filter(F.col("apart") | both).groupBy("lang", F.xxhash64("text", F.lit(11)).alias("place")).agg(F.first("text").alias("text"))
+    return models, calibrated(models, apart.select("text", "lang"))
+
+
+def rates(models: CharModels, texts: list[list[str]], langs: list[str]):
+    """(language, length class, cross-entropy) of texts' words; short classes are measured on runs of them."""
+    words = list({w for t in texts for w in t})
+    total, size = models.score(words)
+    row, of = dict(zip(words, range(len(words)), strict=True)), {x: i for i, x in enumerate(models.langs)}
+    for t, lang in zip(texts, langs, strict=True):
+        if t and lang in of:
+            at = [row[w] for w in t]
+            cost, n = (-total[at, of[lang]].astype(np.float64)).tolist(), size[at].astype(np.int64).tolist()
+            if sum(n) >= CLASSES[-1]:
+                yield lang, len(CLASSES), sum(cost) / sum(n)
+            for k, most in enumerate(CLASSES):
+                run = seen = 0
+                for x, m in zip(cost, n, strict=True):
+                    run += x
+                    seen += m
+                    if seen >= most / 4:
+                        yield lang, k, run / seen
+                        run = seen = 0
+
+
+def calibrated(models: CharModels, apart: DataFrame) -> np.ndarray:
+    """The largest cross-entropy that is taken for each language, a row a length class, from all rows (text, lang).
+
+    Rates are counted to a ten thousandth of a nat, so that the driver gets as many rows at any size.
+    """
+    shared = apart.sparkSession.sparkContext.broadcast(models)
+
+    def measure(batches):
+        seen = Counter()
+        for b in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
+            seen.update((lang, k, round(x * 10_000)) for lang, k, x in rates(shared.value, [letters(t.as_py()) for t in b.column(0)], b.column(1).to_pylist()))
+        lang, k, x = zip(*seen, strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(x, pa.int64()), pa.array(seen.values(), pa.int64())], names=["lang", "k", "x", "n"])
+
+    found: dict = {}
+    for r in apart.mapInArrow(measure, "lang string, k int, x long, n long").groupBy("lang", "k", "x").agg(F.sum("n").alias("n")).orderBy("x").collect():
+        found.setdefault((r["lang"], r["k"]), []).append((r["x"] / 10_000, r["n"]))
+    shared.unpersist()
     limits = np.full((len(CLASSES) + 1, len(models.langs)), np.inf)
     for i, lang in enumerate(models.langs):
-        words = list({w for t in kept.get(lang, ()) for w in t})
-        total, size = models.score(words)
-        cost = dict(zip(words, zip(-total[:, i], size, strict=True), strict=True))
-        for k, most in enumerate((*CLASSES, None)):
-            rates = []
-            for t in kept.get(lang, ()):
-                run, n = [], 0
-                for w in t:
-                    x, m = cost[w]
-                    run.append(x)
-                    n += m
-                    if most is not None and n >= most / 4:
-                        rates.append(sum(run) / n)
-                        run, n = [], 0
-                if most is None and n >= CLASSES[-1]:
-                    rates.append(sum(run) / n)
-            if rates:
-                limits[k, i] = np.quantile(rates, 0.999) + 1.0
+        for k in range(len(CLASSES) + 1):
+            if (lang, k) in found:
+                x, n = map(np.array, zip(*found[(lang, k)], strict=True))
+                ends = np.cumsum(n)
+                at = 0.999 * (ends[-1] - 1)
+                low, high = (x[np.searchsorted(ends, j, "right")] for j in (int(at), int(np.ceil(at))))
+                limits[k, i] = low + (high - low) * (at - int(at)) + 1.0
         known = limits[:, i][np.isfinite(limits[:, i])]
         limits[:, i] = np.where(np.isfinite(limits[:, i]), limits[:, i], known.max() if len(known) else np.inf)
     # a shorter text is never judged more strictly than a longer one

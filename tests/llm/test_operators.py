@@ -146,6 +146,29 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in rows_of(langid.identify(docs.limit(3), None))} == {"und"}
 
 
+def test_language_models_learn_from_all_rows(spark):
+    r = random.Random(4)
+    rows = [(i, f"{r.choice(EN)} {r.choice(EN)} q{i:x}".replace("0", "k").translate(str.maketrans("123456789", "lmnoprstu")), "en", "s") for i in range(6000)]
+    rows += [(6000 + i, " ".join(r.choice(DE) for _ in range(6)), "de", "s") for i in range(40)]
+    rows.append((7000, "jazzy " * 12_000, "en", "s"))
+    docs = make_docs(spark, rows)
+    models, limits = langid.fit(docs)
+    apart = {x["doc_id"] for x in docs.selectExpr("doc_id", "pmod(xxhash64(text, 11), 5) = 0 AS apart").filter("apart").collect()}
+    words, kept = {"en": Counter(), "de": Counter()}, []
+    for i, t, lang, _ in rows:
+        if i not in apart:
+            words[lang].update(langid.letters(t))
+        elif t not in {x for x, _ in kept}:
+            kept.append((t, lang))
+    want = langid.CharModels.fit(words)
+    assert all((a == b).all() for a, b in zip(models.keys, want.keys)) and all(np.allclose(a, b) for a, b in zip(models.logp, want.logp))
+    assert len(models.keys[4]) > 2000 and limits.shape == (3, 2) and np.isfinite(limits).all()
+    seen = {}
+    for lang, k, x in langid.rates(want, [langid.letters(t) for t, _ in kept], [lang for _, lang in kept]):
+        seen.setdefault((lang, k), []).append(x)
+    assert limits[0, 1] == pytest.approx(max(np.quantile(seen["en", k], 0.999) + 1 for k in range(3) if ("en", k) in seen), abs=1e-3)
+
+
 def plain_kneser_ney(words, order, alphabet):
     """p(c | history) from the formula: raw counts at the top, distinct predecessors below, one discount a level."""
     grams = [Counter() for _ in range(order)]
