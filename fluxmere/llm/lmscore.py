@@ -123,17 +123,25 @@ class EliasFano:
             return out
         v = v[valid] if len(valid) < len(v) else v
         lo, end = self._bucket((v >> self.low_bits).astype(np.int64))
-        hi, want = end.copy(), v.astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
-        open_ = np.flatnonzero(lo < hi)
+        want = v.astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
+        # in a few steps through short runs of one high part, by halves in long ones
+        open_ = np.flatnonzero(end - lo > 8)
+        hi = end[open_]
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
+            mid = (lo[open_] + hi) >> 1
             less = self._lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        inside = np.flatnonzero(lo < end)
-        same = self._lows(lo[inside]) == want[inside]
-        out[valid[inside[same]]] = lo[inside[same]]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi = np.where(less, hi, mid)
+            more = lo[open_] < hi
+            open_, hi = open_[more], hi[more]
+        on = np.flatnonzero(lo < end)
+        at, end, want = lo[on], end[on], want[on]
+        while len(on):
+            low = self._lows(at)
+            same = low == want
+            out[valid[on[same]]] = at[same]
+            more = np.flatnonzero((low < want) & (at + 1 < end))
+            on, at, end, want = on[more], at[more] + 1, end[more], want[more]
         return out
 
 
@@ -281,7 +289,7 @@ class Lookup:
         vocabulary, self.tries = _load(model)
         u, inverse = np.unique(h, return_inverse=True)
         ids, counts, prob = vocabulary.find(u)
-        self.ids, self.counts, self.prob = ids[inverse], counts[inverse], prob[inverse]
+        self.ids, self.words, self.inverse = ids[inverse], (counts, prob), inverse
         end = int(vocabulary.find(np.array([END]))[0][0])
         self.context = self.shifted(np.where(self.ids < self.size - 1, self.ids, -1), end if end < self.size - 1 else -1)
 
@@ -297,8 +305,13 @@ class Lookup:
         on = np.flatnonzero(self.context >= 0)
         return self.context[on].astype(np.uint64) * np.uint64(self.size) + self.ids[on].astype(np.uint64), on
 
-    def levels(self):
-        """(tokens behind a known context, log10 of their discounted share or -inf, of the context's backoff) of each level."""
+    def unigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, log10 of one more, count as quantised) of each token; powers are taken of distinct words."""
+        counts, prob = self.words
+        return counts[self.inverse], np.log10(counts + 1.0)[self.inverse], (10.0**prob)[self.inverse]
+
+    def levels(self, values: bool = True):
+        """(tokens behind a known context, their discounted share, the context's backoff) of each level; powers are taken of distinct keys."""
         for trie in self.tries:
             keys, on = self.keys()
             k, back = np.unique(keys, return_inverse=True)
@@ -306,7 +319,7 @@ class Lookup:
             grams = np.full(len(self.ids), -1)
             grams[on] = place[back]
             self.context = self.shifted(grams, -1)
-            yield on, prob[back], gamma[back]
+            yield (on, (10.0**prob)[back], (10.0**gamma)[back]) if values else ()
 
 
 class Trie:
@@ -501,7 +514,7 @@ def longer(rows: DataFrame, model: dict, level: int, cutoff: int, stem: str, siz
         for batch in batches:
             for part in slices(batch, "text"):
                 look = Lookup(model, *tokens(part.column(0)))
-                for _ in look.levels():
+                for _ in look.levels(values=False):
                     pass
                 if sums.add(look.keys()[0]):
                     yield from (blobs([r]) for r in sums.flush())
@@ -571,11 +584,11 @@ def score(docs: DataFrame, model: dict, extra: tuple) -> DataFrame:
             for part in slices(batch, "_text", SLICE):
                 h, bounds = tokens(part.column(part.num_columns - 1))
                 look = Lookup(model, h, bounds)
-                c = look.counts
-                base = np.log10(c + 1.0) - norm
-                value = np.where(c > 0, 10.0**look.prob * known, unknown)
-                for on, prob, gamma in look.levels() if len(h) else ():
-                    value[on] = 10.0**prob + 10.0**gamma * value[on]
+                c, base, share = look.unigrams()
+                base -= norm
+                value = np.where(c > 0, share * known, unknown)
+                for on, share, back in look.levels() if len(h) else ():
+                    value[on] = share + back * value[on]
                 value = np.log10(value)
                 n = part.num_rows
                 text = np.repeat(np.arange(n), np.diff(bounds))

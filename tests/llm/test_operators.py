@@ -691,3 +691,13 @@ def test_crc_of_pieces():
     ids = np.arange(2050, dtype="<u4").tobytes()
     rows = packing.piece_rows(ids, 1024)
     assert [r[2] for r in rows] == [2, 1024, 1024] and rows[0][3] == zlib.crc32(ids[:8])
+
+
+@pytest.mark.parametrize("run", [1, 8, 9, 64, 65, 300])
+def test_elias_fano_finds_in_runs_of_one_high_part(tmp_path, run):
+    v = np.unique(np.concatenate([np.arange(5000, 5000 + 2 * run, 2), np.arange(10) * 100_000 + 7])).astype(np.uint64)
+    lmscore.EliasFano.build(v, 1 << 20, str(tmp_path / "e"))
+    e = lmscore.EliasFano.load(str(tmp_path / "e"))
+    ask = np.unique(np.concatenate([np.arange(4990, 5010 + 2 * run), np.arange(10) * 100_000 + 7, [(1 << 20) - 1]]))
+    place = {x: i for i, x in enumerate(v.tolist())}
+    assert e.find(ask).tolist() == [place.get(x, -1) for x in ask.tolist()]
