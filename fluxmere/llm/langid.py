@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import fold, held
+from .util import fold, held, small_batches
 
 ORDER = 5
 #: Distinct tokens that a task counts before it turns them to grams; texts whose words it scores together.
@@ -412,6 +412,7 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows that the identification rejects go; the others stay as they were."""
+    small_batches(spark)
     model = fit(docs.filter(fold("doc_id", 3) != 1))
     cols = docs.columns
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))

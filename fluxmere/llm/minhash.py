@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .embed import roots
 from .textvec import counted, mix64, shingles, slices, utf8, words
-from .util import fresh, held, stored
+from .util import fresh, held, small_batches, stored
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
-SLICE = 1 << 20  # bytes of text whose signatures are drawn at once
+SLICE = 1 << 18  # bytes of text whose signatures are drawn at once; arrivals take about a hundred times as much
+#: Shingles of pairs that are compared at once.
+LOAD = 1 << 18
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -138,9 +140,8 @@ class Bags:
         low, high = np.minimum(self.total[i], self.total[j]), np.maximum(self.total[i], self.total[j])
         out = (low >= least * high) & (low > 0)
         on = np.flatnonzero(out)
-        # as many pairs at a time as have about a million shingles
         load = np.cumsum(self.bounds[j[on] + 1] - self.bounds[j[on]])
-        cuts = np.unique(np.concatenate([[0], np.searchsorted(load, np.arange(1 << 20, load[-1] if len(load) else 0, 1 << 20)) + 1, [len(on)]]))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(load, np.arange(LOAD, load[-1] if len(load) else 0, LOAD)) + 1, [len(on)]]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = on[a:b]
             x, y = i[part], j[part]
@@ -371,6 +372,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat a kept doc_id and its text leave one, of several texts of one doc_id each stays;
     rows without words or without an id stay. Other columns are passed on untouched.
     """
+    small_batches(spark)
     cols = docs.columns
     kept, many, sha = fresh(docs, "_kept", "_many", "_sha")
     near = stored(near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(kept)).agg((F.count("*") > 1).alias(many)), "bag-kept")

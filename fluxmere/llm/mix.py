@@ -8,7 +8,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import fresh, stored, weighted_cuts
+from .util import fresh, listed, small_batches, stored, weighted_cuts
 
 WORD = "[^ \\t-\\r]+"
 BITS, TEXT_BITS = 60, 40
@@ -210,7 +210,7 @@ class Mix:
     def joined(self, df: DataFrame, pattern: str, copy: str, source: str, ranges: dict | None = None) -> DataFrame:
         """Add _cell, _passes, _start, _source_size, _target and _ranges; the table has a row a cell."""
         rows = [(p, c, s, i, n, a, int(self.sizes[s]), self.target[s], [tuple(map(int, x)) for x in (ranges or {}).get(i, ())]) for i, (p, c, s, n, a, _) in enumerate(self.cells)]
-        table = self.spark.createDataFrame(rows, "_p long, _c int, _s string, _cell int, _passes int, _start long, _source_size long, _target double, _ranges array<struct<lo:long,hi:long,most:long,layer:long>>")
+        table = listed(self.spark, rows, "_p long, _c int, _s string, _cell int, _passes int, _start long, _source_size long, _target double, _ranges array<struct<lo:long,hi:long,most:long,layer:long>>")
         test = (F.col(pattern) == F.col("_p")) & (F.col(copy) == F.col("_c")) & F.col(source).eqNullSafe(F.col("_s"))
         return df.join(F.broadcast(table) if len(rows) <= BROADCAST else table, test, "left").drop("_p", "_c", "_s")
 
@@ -253,7 +253,7 @@ class Mix:
                     self.ranges.setdefault(cells[0], [])
             if not live:
                 break
-            table = self.spark.createDataFrame([(i, x, ends[i], ends[i] + widths[i], sorted(picked[i])) for i, x in live.items()], "_i int, _short long, _from long, _to long, _done array<long>")
+            table = listed(self.spark, [(i, x, ends[i], ends[i] + widths[i], sorted(picked[i])) for i, x in live.items()], "_i int, _short long, _from long, _to long, _done array<long>")
             fit = at.join(F.broadcast(table), F.col("_cell") == F.col("_i")).filter((F.col("at") >= F.col("_from")) & (F.col("size") > 0) & (F.col("size") <= F.col("_short")) & ~F.array_contains("_done", F.col("at")))
             # equal rows are taken together, so places are summed
             near = fit.filter(F.col("at") < F.col("_to")).groupBy("_cell", "at", "_short").agg(F.sum("size").alias("w")).filter("w <= _short")
@@ -316,6 +316,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The plan reads ids, sources, sizes and hashes; texts are read once more, to be handed on.
     """
+    small_batches(spark)
     plan = plan_mix(docs)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*cols).alias("row"), "doc_id", "source", *[c.alias(n) for n, c in counted("text").items()])

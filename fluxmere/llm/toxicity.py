@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Kept, fold, held, stored
+from .util import Kept, fold, held, small_batches, stored
 
 #: Features kept; distinct tokens that a task counts before it turns them to trigrams; texts that it restores before it hands on what it found.
 FEATURES, TOKENS, SLICE = 400, 100_000, 1000
@@ -435,6 +435,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows predicted toxic go; the others stay as they were."""
+    small_batches(spark)
     model = learn(spark, docs, sf_dir)
     cols = docs.columns
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))

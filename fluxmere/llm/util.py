@@ -7,8 +7,11 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +64,31 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of the driver's ``rows``, handed over by Arrow.
+
+    ``createDataFrame`` over a list makes an RDD that Python converts: on every executor another daemon with
+    workers of its own, which stay beside those that run the operators.
+    """
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds))
+
+
+#: Rows of whole texts that Spark hands to a Python worker at once, in the pipeline.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python ``BATCH`` at a time; a smaller setting stays.
+
+    At Spark's 10,000 a batch of texts is a whole task's input, which the JVM and the worker hold at
+    once, coming and going, beside all that a long-lived worker has from earlier stages.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 _HELD: dict[str, object] = {}
 
 
@@ -102,8 +130,6 @@ def release() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -168,7 +194,7 @@ def weighted_cuts(df: DataFrame, group: str, key: str, weight: str, wanted: dict
             at = df.withColumns({low: of(1), high: of(2), wide: of(3)})
         else:  # a row a group, as the driver holds them
             g, = fresh(df, "_group")
-            small = df.sparkSession.createDataFrame(table, f"`{g}` {df.schema[group].dataType.simpleString()}, `{low}` long, `{high}` long, `{wide}` long")
+            small = listed(df.sparkSession, table, f"`{g}` {df.schema[group].dataType.simpleString()}, `{low}` long, `{high}` long, `{wide}` long")
             at = df.join(F.broadcast(small), F.col(group) == F.col(g))
         rows = (
             at.filter(F.col(low).isNotNull() & (F.col(key) >= F.col(low)) & (F.col(key) < F.col(high)))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
+import pyarrow as pa
+
 import corpus_pipeline
+from fluxmere.llm import minhash, mix
+from fluxmere.llm.util import listed
 
 from .test_operators import DE, EN, make_docs
 
@@ -41,3 +46,56 @@ def test_stages_take_effect(spark, tmp_path):
     for x in docs.collect():
         bins[x["sequence_id"]] += x["length"]
     assert max(bins.values()) <= 1024
+
+
+class Unspread:
+    """Stands for a frame: hands back what would run on its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_signatures_hold_little_at_once(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(EN) + str(r.randrange(1000)) for _ in range(200)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    run = minhash.signatures(Unspread(), "doc_id", "text", minhash.SHINGLE, minhash.BANDS, minhash.ROWS)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run([batch])) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_planned_rows_need_no_python_workers(spark, tmp_path):
+    rows = [(i, f"{EN[i % 7]} {i}", "en", f"s{i % 3}" if i % 5 else None) for i in range(60)]
+    make_docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = mix.stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    kind = "a long, b string, c double, d array<struct<x:long,y:long>>, e array<long>"
+    data = [(-(1 << 63), None, 0.5, [(1, 2), (3, 4)], []), (5, "ä", -1.0, [], [7])]
+    assert listed(spark, data, kind).schema == spark.createDataFrame(data, kind).schema
+    assert listed(spark, data, kind).collect() == spark.createDataFrame(data, kind).collect() and listed(spark, [], kind).collect() == []
+
+
+def test_stages_hand_over_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(i, f"{EN[i % 7]} {i}", "en", "s") for i in range(20)]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        for before, after in ((10_000, 1000), (0, 1000), (7, 7)):
+            for stage in (mix.stage, minhash.stage):
+                spark.conf.set(name, before)
+                stage(spark, make_docs(spark, rows), "")
+                seen = [x["n"] for x in spark.range(2500).coalesce(1).mapInArrow(sizes, "n long").collect()]
+                assert max(seen) == after and sum(seen) == 2500
+    finally:
+        spark.conf.unset(name)
