@@ -376,7 +376,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     kept, many, sha = fresh(docs, "_kept", "_many", "_sha")
     near = stored(near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(kept)).agg((F.count("*") > 1).alias(many)), "bag-kept")
-    rows = docs.join(near, docs["doc_id"] == near[kept])
+    # joined alike at any size: what is kept grows with the documents
+    rows = docs.join(near.hint("merge"), docs["doc_id"] == near[kept])
     if near.filter(F.col(many)).isEmpty():
         rows = rows.select(*[F.col(f"`{c}`") for c in cols])
     else:

@@ -99,3 +99,9 @@ def test_stages_hand_over_small_batches(spark):
                 assert max(seen) == after and sum(seen) == 2500
     finally:
         spark.conf.unset(name)
+
+
+def test_kept_ids_are_joined_alike_at_any_size(spark, tmp_path):
+    make_docs(spark, [(i, f"{EN[i % 7]} {i}", "en", "s") for i in range(30)]).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = minhash.stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
