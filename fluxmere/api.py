@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import registry
-from .operators import analytic, cep, windows
+from .operators import analytic, cep, ordered, windows
 from .operators.compile import Compiler, calls, check, same
 from .plans.errors import SqlError, near
 from .plans.parser import Node, Query, parse
@@ -74,7 +74,7 @@ class Plan:
         if q.where is not None and any(calls(q.where, "aggregate")):
             raise SqlError("semantic", "aggregates aren't allowed in WHERE")
         self.qualifiers = {q.alias or q.table: {c: c for c in self.df.columns}}
-        self.hidden = 0
+        self.hidden, self.cut = 0, None
 
     @property
     def kind(self) -> str:
@@ -139,18 +139,32 @@ class Plan:
                     else:
                         c.special.append((call, F.col(f"`{names['']}`")))
             return df
-        for n in nodes:
-            for call in calls(n, "analytic"):
-                if any(s is call for s, _ in c.special):
-                    continue
+        fresh = []
+        for call in [x for n in nodes for x in calls(n, "analytic")]:
+            if not any(s is call for s, _ in c.special):
                 self.hidden += 1
-                df, names = analytic.evaluate(df, call, c, [o for o in self.order if o in df.columns], f"_a{self.hidden}")
+                fresh.append((call, f"_a{self.hidden}"))
+        order, part = [o for o in self.order if o in df.columns], f"_p{self.hidden}"
+        df, looks = analytic.cut(df, fresh, c, order, part, self.cuts)
+        for cut in (True, False):
+            for call, name in fresh:
+                if (id(call) in looks) != cut:
+                    continue
+                df, names = analytic.evaluate(df, call, c, order, name, (part, looks[id(call)]) if cut else None)
                 if call.value == "changed_cols":
                     self.spread[id(call)] = names
                 else:
                     c.special.append((call, F.col(f"`{names['']}`")))
+            if cut and looks:
+                df = df.filter(~F.col(f"{part}_c"))
         return df
 
+    def cuts(self, df: DataFrame) -> list[Column]:
+        """Where the sequence of all rows is cut, found once a query; results of windows aren't computed for it and stay whole."""
+        if self.kind == "direct" and self.cut is None:
+            self.cut = ordered.cuts(df, [o for o in self.order if o in df.columns])
+        return self.cut or []
+
     def direct(self) -> DataFrame:
         q, self.spread = self.q, {}
         c = self.compiler()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,12 @@ from ..functions import registry
 from ..functions.scalar import D
 from ..plans.errors import SqlError
 from ..plans.parser import Node
-from .ordered import by_key
+from .ordered import by_key, in_parts
+
+#: Calls that look back to a few rows, and their first argument that is looked at.
+LOOKS = {"lag": 0, "latest": 0, "changed_col": 1, "changed_cols": 2, "had_changed": 1}
+#: The farthest lag over a sequence in parts.
+FARTHEST = 1000
 
 
 def literal(n: Node, default=None):
@@ -19,13 +26,71 @@ def literal(n: Node, default=None):
     return n.value if n.value is not None else default
 
 
-def evaluate(df: DataFrame, n: Node, compiler, order: list[str], name: str) -> tuple[DataFrame, dict[str, str]]:
-    """Add the column of one call. Returns the names by suffix; changed_cols has one a source column."""
+@dataclass
+class Look:
+    """What a call looks at: (name, column that holds it), whether NULLs are skipped, and how many rows back."""
+
+    cells: list[tuple[str, str]]
+    skip: bool
+    step: int = 1
+
+    @property
+    def columns(self) -> list[Column]:
+        return [F.col(c) for _, c in self.cells]
+
+
+def look(df: DataFrame, n: Node, compiler, name: str) -> tuple[DataFrame, Look]:
+    """The rows with what a call of LOOKS looks at in columns of their own."""
+    at = LOOKS[n.value]
+    args = n.args[at:] if n.value in ("changed_cols", "had_changed") else n.args[at : at + 1]
+    if any(a.kind == "star" for a in args):
+        found = [(c, F.col(f"`{c}`")) for c in compiler.df.columns]
+    else:
+        found = [(str(a.value[-1]) if a.kind == "col" else f"c{i}", compiler.row(a)) for i, a in enumerate(args)]
+    cells = [(c, f"{name}_i{i}") for i, (c, _) in enumerate(found)]
+    df = df.withColumns({i: col for (_, i), (_, col) in zip(cells, found, strict=True)})
+    if n.value == "lag":
+        step = int(literal(n.args[1], 1)) if len(n.args) > 1 else 1
+        return df, Look(cells, bool(literal(n.args[3])) if len(n.args) > 3 else True, step)
+    return df, Look(cells, n.value == "latest" or bool(literal(n.args[at - 1])))
+
+
+def cut(df: DataFrame, found: list[tuple[Node, str]], compiler, order: list[str], part: str, cuts) -> tuple[DataFrame, dict[int, Look]]:
+    """Deal the rows by parts of their sequence for the calls without PARTITION BY and WHEN, so that no task has all.
+
+    Returns the looks by call, none if nothing was cut; else the rows have copies of earlier ones, told by
+    ``{part}_c``. acc_*, whose sums of doubles depend on their order, and own functions take the sequence whole.
+    """
+    looks, held = {}, df
+    for n, name in found:
+        bare = not n.over or (not isinstance(n.over, str) and not n.over.partition and n.over.when is None)
+        if n.value in LOOKS and registry.custom(n.value) is None and bare:
+            wider, seen = look(held, n, compiler, name)
+            if 1 <= seen.step <= FARTHEST:
+                held, looks[id(n)] = wider, (n, seen)
+    # a plan that may give other rows when it is read again can't be cut
+    if not looks or not held._jdf.queryExecution().analyzed().deterministic() or not (at := cuts(df)):
+        return df, {}
+    reach: dict[str | None, int] = {}
+    for n, seen in looks.values():
+        for c in [c for _, c in seen.cells] if seen.skip else [None]:
+            reach[c] = max(reach.get(c, 0), seen.step)
+        if n.value == "had_changed":
+            reach.setdefault(None, 1)
+    held = in_parts(held, part, at, order, [c for _, seen in looks.values() for _, c in seen.cells], reach, f"{part}_c")
+    return held, {k: seen for k, (_, seen) in looks.items()}
+
+
+def evaluate(df: DataFrame, n: Node, compiler, order: list[str], name: str, parts: tuple[str, Look] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Add the column of one call. Returns the names by suffix; changed_cols has one a source column.
+
+    ``parts``: the column and the look of a call over rows that were ``cut``.
+    """
     over = n.over
     keys = [compiler.row(p) for p in over.partition] if over and not isinstance(over, str) else []
     when = compiler.row(over.when) if over and not isinstance(over, str) and over.when is not None else None
     part, flag = f"{name}_k", f"{name}_w"
-    df = df.withColumn(part, F.struct(*keys) if keys else F.lit(1))
+    df = df.withColumn(part, F.col(parts[0]) if parts else F.struct(*keys) if keys else F.lit(1))
     df = df.withColumn(flag, F.coalesce(when, F.lit(False)) if when is not None else F.lit(True))
     w = Window.partitionBy(part, flag).orderBy(*order)
     running, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -38,11 +103,10 @@ def evaluate(df: DataFrame, n: Node, compiler, order: list[str], name: str) -> t
         # the first row always counts as a change, but no column holds a NULL that changed
         return first | differs if n.value == "had_changed" or not skip else differs
 
-    def sources(args: list[Node]) -> list[tuple[str, Column]]:
-        if any(a.kind == "star" for a in args):
-            return [(c, F.col(f"`{c}`")) for c in compiler.df.columns]
-        return [(str(a.value[-1]) if a.kind == "col" else f"c{i}", compiler.row(a)) for i, a in enumerate(args)]
-
+    if parts:
+        seen = parts[1]
+    elif n.value in LOOKS and registry.custom(n.value) is None:
+        df, seen = look(df, n, compiler, name)
     out: dict[str, Column] = {}
     if made := registry.custom(n.value):
         cols = {f"{name}_x{i}": compiler.row(a) for i, a in enumerate(n.args)}
@@ -58,32 +122,28 @@ def evaluate(df: DataFrame, n: Node, compiler, order: list[str], name: str) -> t
         df = by_key(df, [F.col(part), F.col(flag)], order, schema, step)
         out[""] = F.when(F.col(flag), F.col(f"{name}_p"))
     elif n.value == "lag":
-        step = int(literal(n.args[1], 1)) if len(n.args) > 1 else 1
-        skip = bool(literal(n.args[3])) if len(n.args) > 3 else True
-        df = df.withColumn(f"{name}_x", compiler.row(n.args[0]))
-        nulls = "IGNORE NULLS" if skip else "RESPECT NULLS"
+        nulls = "IGNORE NULLS" if seen.skip else "RESPECT NULLS"
         by = ", ".join(f"`{o}`" for o in order)
-        got = F.expr(f"lag(`{name}_x`, {step}) {nulls} OVER (PARTITION BY `{part}`, `{flag}` ORDER BY {by})")
+        got = F.expr(f"lag(`{seen.cells[0][1]}`, {seen.step}) {nulls} OVER (PARTITION BY `{part}`, `{flag}` ORDER BY {by})")
         if len(n.args) > 2 and n.args[2].value is not None:
             got = F.coalesce(got, compiler.row(n.args[2]))
         out[""] = got
     elif n.value == "latest":
-        got = F.last(compiler.row(n.args[0]), True).over(running)
+        got = F.last(seen.columns[0], True).over(running)
         out[""] = F.coalesce(got, compiler.row(n.args[1])) if len(n.args) > 1 else got
     elif n.value == "changed_col":
-        c = compiler.row(n.args[1])
-        out[""] = F.when(change(c, bool(literal(n.args[0]))), c)
+        c = seen.columns[0]
+        out[""] = F.when(change(c, seen.skip), c)
     elif n.value == "had_changed":
-        skip = bool(literal(n.args[0]))
-        tests = [change(c, skip) for _, c in sources(n.args[1:])]
+        tests = [change(c, seen.skip) for c in seen.columns]
         got = tests[0]
         for t in tests[1:]:
             got = got | t
         out[""] = got
     elif n.value == "changed_cols":
-        prefix, skip = literal(n.args[0]), bool(literal(n.args[1]))
-        for c, col in sources(n.args[2:]):
-            out[f"{prefix}{c}"] = F.when(change(col, skip), col)
+        prefix = literal(n.args[0])
+        for (c, _), col in zip(seen.cells, seen.columns, strict=True):
+            out[f"{prefix}{c}"] = F.when(change(col, seen.skip), col)
     else:
         x = compiler.row(n.args[0])
         start = F.coalesce(compiler.row(n.args[1]), F.lit(False)) if len(n.args) > 1 else F.lit(True)
